@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import token_files
+from . import byte_bpe, token_files
 from .common import documents
 
 #: Public vocabulary files.
@@ -24,3 +24,8 @@ def query(function):
 @query
 def op1_token_files(spark, sf_dir):
     return token_files.token_files(documents(spark, sf_dir), WORD_BPE)
+
+
+@query
+def op8_byte_bpe(spark, sf_dir):
+    return byte_bpe.encode_documents(documents(spark, sf_dir), BYTE_BPE, public_tokenizers.PATTERN)
