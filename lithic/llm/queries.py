@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, token_files
+from . import byte_bpe, packing, token_files
 from .common import documents
 
 #: Public vocabulary files.
@@ -29,3 +29,8 @@ def op1_token_files(spark, sf_dir):
 @query
 def op8_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_documents(documents(spark, sf_dir), BYTE_BPE, public_tokenizers.PATTERN)
+
+
+@query
+def op5_best_fit(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir), WORD_BPE).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
