@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, token_files
+from . import byte_bpe, packing, quality_classifier, quality_rules, token_files
 from .common import documents
 
 #: Public vocabulary files.
@@ -34,3 +34,17 @@ def op8_byte_bpe(spark, sf_dir):
 @query
 def op5_best_fit(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), WORD_BPE).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op9_weak_supervision(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    own = [F.col("_counts")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return quality_rules.judge(docs).select("doc_id", *own, "base_failed", "kept", "posterior")
+
+
+@query
+def op10_rule_ensemble(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality_classifier.score(docs, labels).select("doc_id", "held_out", "score", "predicted")
