@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, quality_classifier, quality_rules, token_files
-from .common import documents
+from . import byte_bpe, exact_dedup, packing, quality_classifier, quality_rules, sharding, token_files
+from .common import documents, text_or_empty
 
 #: Public vocabulary files.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -48,3 +48,21 @@ def op10_rule_ensemble(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return quality_classifier.score(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op2_histogram_sort(spark, sf_dir):
+    placed = sharding.shard(documents(spark, sf_dir).select("doc_id", "text"))
+    return placed.select("doc_id", "size", F.crc32(text_or_empty()).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
+@query
+def op6_block_naming(spark, sf_dir):
+    return exact_dedup.groups(documents(spark, sf_dir)).drop("_xd_row")
+
+
+ORACLE["op6_block_naming"] = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
+"""
