@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing, quality_classifier, quality_rules, sharding, token_files
+from . import byte_bpe, exact_dedup, license_scan, packing, quality_classifier, quality_rules, sharding, token_files
 from .common import documents, text_or_empty
 
 #: Public vocabulary files.
@@ -66,3 +66,11 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coales
 g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
 """
+
+
+@query
+def op3_license_dice(spark, sf_dir):
+    return license_scan.scan(documents(spark, sf_dir)).select("doc_id", "license", "dice", "n_matches")
+
+
+ORACLE["op3_license_dice"] = license_scan.oracle()
