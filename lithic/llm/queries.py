@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sharding, token_files
+from . import byte_bpe, exact_dedup, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_files
 from .common import documents, text_or_empty
 
 #: Public vocabulary files.
@@ -79,3 +79,8 @@ ORACLE["op3_license_dice"] = license_scan.oracle()
 @query
 def op7_count_vector_tree(spark, sf_dir):
     return jaccard_join.near_duplicates(documents(spark, sf_dir), shingle=4, percent=85)
+
+
+@query
+def op4_sparse_bwt(spark, sf_dir):
+    return substring_dedup.deduplicated(documents(spark, sf_dir), digest_only=True)
