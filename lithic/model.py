@@ -6,9 +6,8 @@ is (name, file, line_start). Reports are read with these schemas, never by infer
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SCHEMA_VERSION = 1
 
@@ -37,19 +36,18 @@ STRUCT = (
     f"name string, kind string, location {LOCATION}, fields array<struct<name:string,ty:struct<text:string>,category:string>>, "
     f"metrics struct<{','.join(f'{m}:int' for m in STRUCT_METRICS)}>, attributes map<string,string>"
 )
-FUNCTIONS = T.StructType.fromDDL(f"report_id string, idx int, {FUNCTION}")
-STRUCTS = T.StructType.fromDDL(f"report_id string, idx int, {STRUCT}")
+FUNCTIONS = f"report_id string, idx int, {FUNCTION}"
+STRUCTS = f"report_id string, idx int, {STRUCT}"
 
 
 def nested(ddl: str) -> str:
-    return T.StructType.fromDDL(ddl).simpleString()
+    """The same columns as one struct type."""
+    return "struct<" + ", ".join(x.replace(" ", ":", 1) for x in ddl.split(", ")) + ">"
 
 
 #: As a JSON document has it: a constant's `value` is of any type there, so it is read as text and dealt to its column.
 RAW_CONSTANT = "struct<kind:string,value:string,text:string,span:array<int>>"
-REPORT = T.StructType.fromDDL(
-    f"schema_version int, language string, source_file string, source_hash string, functions array<{nested(FUNCTION).replace(nested('c ' + CONSTANT)[9:-1], RAW_CONSTANT)}>, structs array<{nested(STRUCT)}>"
-)
+REPORT = f"schema_version int, language string, source_file string, source_hash string, functions array<{nested(FUNCTION).replace(CONSTANT, RAW_CONSTANT)}>, structs array<{nested(STRUCT)}>"
 
 
 def typed_constant(c: Column) -> Column:
@@ -68,7 +66,7 @@ def typed_constant(c: Column) -> Column:
 def functions_of(reports: DataFrame) -> DataFrame:
     """A row a function from raw report rows (`report_id` and the fields of REPORT)."""
     each = reports.select("report_id", F.posexplode("functions").alias("idx", "f"))
-    names = [f.name for f in FUNCTIONS.fields[2:]]
+    names = [x.split()[0] for x in FUNCTION.split(", ")]
     value = lambda n: F.transform(F.col("f.constants"), typed_constant).alias(n) if n == "constants" else F.col(f"f.{n}")
     return each.select("report_id", "idx", *[value(n) for n in names])
 

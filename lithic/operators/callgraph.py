@@ -66,9 +66,9 @@ def tarjan(vertices: list[int], neighbours: dict[int, list[int]]) -> list[list[i
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[v])
                 if low[v] == number[v]:
-                    at = stack.index(v) if stack[-1] != v else len(stack) - 1
-                    group = stack[at:]
-                    del stack[at:]
+                    group = [stack.pop()]
+                    while group[-1] != v:
+                        group.append(stack.pop())
                     on_stack.difference_update(group)
                     out.append(group)
     return out

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import cut
 from ..functions import scalar
 
 #: Order of the stages and their names in results.
@@ -152,6 +153,7 @@ def match(left: DataFrame, right: DataFrame, entries: list[dict] | None = None,
             found = match_exact(a, b, right) if stage == "ExactName" else {"FfiAttribute": match_ffi, "Normalized": match_normalized, "Fingerprint": match_fingerprint}[stage](a, b)
             pairs = found.withColumn("_order", F.col("left_idx"))
         done.append(pairs.select(F.lit(k).alias("_stage"), F.col("_order").cast("long").alias("_order"), *[F.col(c).cast("long").alias(c) for c in PAIR], F.lit(stage).alias("strategy")))
+        done[-1] = cut(done[-1])  # the next stages read what is used up rather than match anew
     if not done:
         return left.sparkSession.createDataFrame([], "pair_idx long, left_idx long, right_idx long, strategy string")
     return numbered(reduce(DataFrame.unionAll, done), ["_stage", "_order"], "pair_idx").select("pair_idx", *PAIR, "strategy")
