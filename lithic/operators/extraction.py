@@ -57,7 +57,8 @@ def structs(parsed: DataFrame, report_id: str = "report") -> DataFrame:
     rows = numbered(each, report_id)
     fields = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["ty"].alias("ty"), classify_type(F.coalesce(f["ty"]["text"], F.lit(""))).alias("category")))
     rows = rows.withColumn("fields", fields)
-    counts = [F.size("fields").alias("field_count"), *[F.size(F.filter("fields", lambda f, c=c: f["category"] == c)).alias(f"{c}_count") for c in CATEGORIES]]
+    of = lambda c: F.size(F.filter("fields", lambda f: f["category"] == c)).alias(f"{c}_count")
+    counts = [F.size("fields").alias("field_count"), *map(of, CATEGORIES)]
     return rows.withColumn("metrics", F.struct(*counts)).withColumn("metrics", F.struct(*[F.col(f"metrics.{m}").alias(m) for m in STRUCT_METRICS]))
 
 
