@@ -6,8 +6,8 @@ box of an R-tree, the sum of the smaller of a count and the box's largest; a box
 that the threshold asks for is pruned, and pairs that survive are verified on the whole sets.
 
 The join is made in parallel without loss by a fact about sets: two sets at Jaccard t or more share a token among the first
-|x| - ceil(t|x|) + 1 of each, in any fixed order of tokens. Each document goes to the buckets of these tokens; the order puts
-tokens of crowded bins of a fixed-size histogram last, so boilerplate makes no buckets. Equal sets are one point throughout.
+|x| - ceil(t|x|) + 1 of each, in any fixed order of tokens. Each document goes to the buckets of these tokens; the order goes by
+the load of a token's bin in a fixed-size histogram, lightest first, so boilerplate makes few buckets. Equal sets are one point throughout.
 
 Links are transitive in the result, so not every pair is needed, only enough verified ones. Round one pairs each bucket's members
 with the bucket's two best-supported ones. Round two takes the buckets that still hold several components and joins their points
@@ -33,8 +33,8 @@ from .tokens import Cache
 
 #: Dimensions of a point; the largest count kept, beyond which a point is not pruned.
 GROUPS, FULL = 128, 65535
-#: Bins of the histogram of tokens (a power of two), and the pieces it is added up in.
-BINS, PIECES = 1 << 18, 32
+#: Bins of the histogram of tokens (a power of two), the shift that gives a token's bin, and the pieces it is added up in.
+BINS, SHIFT, PIECES = 1 << 20, 44, 32
 #: Points of a leaf and children of a node of the R-tree; documents of a block.
 FAN, BLOCK = 16, 1024
 #: Needed documents up to which their ids (8 bytes each) are broadcast rather than shuffled with the texts.
@@ -103,11 +103,11 @@ def survey(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in byte_blocks(batches):
             sets = [of(x.as_py()) for x in batch["text"]]
             if sets:
-                bins += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=BINS)
+                bins += np.bincount((np.concatenate(sets) >> np.uint64(SHIFT)).astype(np.int64), minlength=BINS)
             ids = [identity(x) for x in sets]
             n = len(sets)
             yield pa.record_batch([pa.array([0] * n, pa.int32()), batch["doc_id"], pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array([point(x) for x in sets], pa.binary())], names=names)
-        parts = [x.tobytes() for x in np.split(bins, PIECES)]
+        parts = [x.astype(np.int32).tobytes() for x in np.split(bins, PIECES)]
         none = pa.nulls(PIECES, pa.int64())
         yield pa.record_batch([pa.array([1] * PIECES, pa.int32()), pa.array(range(PIECES), pa.int64()), none, none, none, pa.array(parts, pa.binary())], names=names)
 
@@ -115,18 +115,19 @@ def survey(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def crowding(surveyed: DataFrame) -> bytes:
-    """For each bin how many doublings its load is above the mean (0 for most): PIECES rows come to the driver."""
+    """The load of each bin in 256 steps: PIECES rows, together BINS numbers, come to the driver."""
     import numpy as np
 
     def add(pdf):
         import pandas as pd
 
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["point"])
+        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["point"])
         return pd.DataFrame({"piece": pdf["doc_id"].iloc[:1], "total": [total.tobytes()]})
 
     rows = surveyed.where("kind = 1").select("doc_id", "point").groupBy("doc_id").applyInPandas(add, "piece long, total binary").collect()
     load = np.concatenate([np.frombuffer(r["total"], np.int64) for r in sorted(rows)]) if rows else np.zeros(BINS, np.int64)
-    return np.clip(np.log2(np.maximum(load, 1) / max(1.0, load.mean())), 0, 60).astype(np.uint8).tobytes()
+    mean = max(1.0, load.mean())
+    return np.clip(np.round((load - mean) / mean**0.5 * 16) + 64, 0, 255).astype(np.uint8).tobytes()
 
 
 def bucketed(docs: DataFrame, shingle: int, percent: int, crowded: bytes) -> DataFrame:
@@ -149,7 +150,7 @@ def bucketed(docs: DataFrame, shingle: int, percent: int, crowded: bytes) -> Dat
                     sent.clear()
                 sent.add(who)
                 first = n + (-percent * n) // 100 + 1
-                late = level[(found >> np.uint64(46)).astype(np.int64)]
+                late = level[(found >> np.uint64(SHIFT)).astype(np.int64)]
                 toks.append(found[np.argsort(late, kind="stable")[:first]])
                 rows.append((n, *who, first))
             if toks:
@@ -190,23 +191,32 @@ def shared(tokens: DataFrame) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose points allow the overlap they need."""
+    """Pairs (a, b, n_a, n_b) whose points allow the overlap they need, as (a, b)."""
 
     def run(batches):
-        import numpy as np
-
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch[k].to_pylist()), "<u2").reshape(-1, GROUPS) for k in ("point_a", "point_b"))
-            n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
-            most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-            full = (a.max(axis=1, initial=0) == FULL) | (b.max(axis=1, initial=0) == FULL)
-            ok = (np.where(full, np.minimum(n_a, n_b), most) >= needed(n_a, n_b, percent)) if len(n_a) else np.zeros(0, bool)
-            yield batch.filter(pa_bool(ok)).select(["a", "b"])
+            a, b = (stacked(batch[k].to_pylist()) for k in ("point_a", "point_b"))
+            yield batch.filter(pa_bool(allowed(a, b, batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), percent))).select(["a", "b"])
+
+    side = lambda x: points.select(F.col("v").alias(x), F.col("point").alias(f"point_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def stacked(points):
+    import numpy as np
 
-    side = lambda x: points.select(F.col("v").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"point_{x}"))
-    joined = pairs.join(points.select(F.col("v").alias("a"), F.col("n").alias("n_a")), "a").join(points.select(F.col("v").alias("b"), F.col("n").alias("n_b")), "b")
-    near = joined.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
-    return near.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return np.frombuffer(b"".join(points), "<u2").reshape(-1, GROUPS)
+
+
+def allowed(a, b, n_a, n_b, percent: int):
+    """Which rows of points a and b may be links."""
+    import numpy as np
+
+    if not len(a):
+        return np.zeros(0, bool)
+    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    full = (a.max(axis=1) == FULL) | (b.max(axis=1) == FULL)
+    return np.where(full, np.minimum(n_a, n_b), most) >= needed(n_a, n_b, percent)
 
 
 def pa_bool(mask):
@@ -295,29 +305,87 @@ class RTree:
         return self.order[places[bound >= needed(n, self.sizes[places], percent)]]
 
 
+#: Rows that are joined together, and the size up to which a bucket is one leaf: its points are compared without a tree.
+TOGETHER, LEAF = 20_000, 2 * FAN
+
+
+def leaf_pairs(rows, ends, percent: int):
+    """Pairs in buckets that are one leaf each, all buckets at once. ends: first and past-the-last row of each."""
+    import numpy as np
+
+    v, n, root, points = rows
+    size = ends[:, 1] - ends[:, 0]
+    found = [np.zeros((0, 2), np.int64)]
+    for k in np.unique(size):
+        i, j = np.triu_indices(k, 1)
+        starts = ends[size == k, 0]
+        a, b = ((starts[:, None] + x).ravel() for x in (i, j))
+        ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        a, b = a[ok], b[ok]
+        for at in range(0, len(a), 50_000):
+            x, y = a[at : at + 50_000], b[at : at + 50_000]
+            ok = allowed(points[x], points[y], n[x], n[y], percent)
+            found.append(np.column_stack([v[x[ok]], v[y[ok]]]))
+    return np.concatenate(found)
+
+
+def tree_join(rows, side, percent: int):
+    """Pairs across components in one bucket, or across two blocks of it, by an R-tree over the right side's points."""
+    import numpy as np
+
+    v, n, root, points = rows
+    left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)  # -1, 1: the two blocks; 0: one block with itself
+    found = [np.zeros((0, 2), np.int64)]
+    if not len(left) or not len(right):
+        return found[0]
+    tree, own_block = RTree(points[right], n[right]), side[0] == 0
+    full = np.flatnonzero(points[right].max(axis=1) == FULL)
+    for k in left:
+        q = points[k].astype(np.int32)
+        at = right[np.arange(len(right)) if q.max() == FULL else np.union1d(tree.search(q, n[k], percent), full)]
+        at = at[(root[at] != root[k]) & ((v[at] > v[k]) | (not own_block))]
+        found.append(np.column_stack([np.full(len(at), v[k]), v[at]]))
+    return np.concatenate(found)
+
+
 def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components inside each block pair of a bucket. rows: bucket, i, j, side, v, n, root, point, sorted by block pair."""
+    """Pairs across components inside each block pair of a bucket. rows: bucket, i, j, side, v, n, root, point."""
 
-    def join(pdf):
+    def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+
+        names, held = ["bucket", "i", "j", "side", "v", "n", "root"], None
+
+        def join(cols, points):
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)
+            first = np.flatnonzero(new)
+            ends = np.column_stack([first, np.append(first[1:], len(new))])
+            small = (ends[:, 1] - ends[:, 0] <= LEAF) & (cols[3][first] == 0)
+            values = (*cols[4:], points)
+            found = [leaf_pairs(values, ends[small], percent)]
+            found += [tree_join([x[a:b] for x in values], cols[3][a:b], percent) for a, b in ends[~small]]
+            both = np.concatenate(found)
+            both = np.unique(np.sort(both, axis=1), axis=0)
+            return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-        left, right = pdf[pdf["side"] <= 0], pdf[pdf["side"] >= 0]  # -1, 1: the two blocks; 0: one block with itself
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        stack = lambda x: np.frombuffer(b"".join(x["point"]), "<u2").reshape(-1, GROUPS)
-        tree = RTree(stack(right), right["n"].to_numpy())
-        v, root = right["v"].to_numpy(), right["root"].to_numpy()
-        full = stack(right).max(axis=1) == FULL
-        out = []
-        for q, n, own, own_root in zip(stack(left).astype(np.int32), left["n"].to_numpy(), left["v"].to_numpy(), left["root"].to_numpy()):
-            at = np.arange(len(v)) if q.max() == FULL else np.union1d(tree.search(q, n, percent), np.flatnonzero(full))
-            at = at[(root[at] != own_root) & ((v[at] > own) | (pdf["side"].iloc[0] != 0))]
-            out.append(np.column_stack([np.full(len(at), own), v[at]]))
-        found = np.concatenate(out)
-        return pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)})
+        for batch in batches:
+            cols, points = [batch[k].to_numpy() for k in names], stacked(batch["point"].to_pylist())
+            if held is not None:
+                cols, points = [np.concatenate([h, c]) for h, c in zip(held[0], cols)], np.concatenate([held[1], points])
+            if len(points) < TOGETHER:
+                held = (cols, points)
+                continue
+            last = np.flatnonzero(np.any([c != c[-1] for c in cols[:3]], axis=0))
+            at = last[-1] + 1 if len(last) else 0  # the last bucket may go on; it has 2 * BLOCK rows at most
+            if at:
+                yield join([c[:at] for c in cols], points[:at])
+            held = ([c[at:] for c in cols], points[at:])
+        if held is not None and len(held[1]):
+            yield join(*held)
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(join, "a long, b long").distinct()
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -329,19 +397,22 @@ def links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataF
     vertices = cut(vertices.withColumn("v", F.monotonically_increasing_id()), "vertices")
     members = shared(bucketed(docs.where("doc_id is not null"), shingle, percent, crowded))
     members = cut(members.join(vertices.select("s1", "s2", "v"), ["s1", "s2"]).select("tok", "v", "n"), "members")
-    points = vertices.select("v", "n", "point")
+    points = vertices.select("v", "point")
     identities = vertices.select("v", "doc_id", "s1", "s2")
 
-    def check(pairs: DataFrame) -> DataFrame:
-        near = cut(bounded(pairs, points, percent), "near")
+    def check(near: DataFrame) -> DataFrame:
         wanted = cut(identities.join(near.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v", "left_semi"), "wanted")
         return verified(near, sets_of(docs, wanted, shingle), percent)
 
     # Round one: each member with the bucket's best-supported member (whose tokens meet most others) and the first one.
     support = members.join(members.groupBy("tok").count(), "tok").groupBy("v").agg(F.sum("count").alias("support"))
-    leaders = members.join(support, "v").groupBy("tok").agg(F.max_by("v", "support").alias("x"), F.min("v").alias("y"))
-    stars = members.join(leaders, "tok").select("v", F.explode(F.array("x", "y")).alias("leader")).where("v <> leader")
-    found = cut(check(cut(stars.select(F.least("v", "leader").alias("a"), F.greatest("v", "leader").alias("b")).distinct(), "stars")), "links")
+    one = F.struct("v", "n")
+    leaders = members.join(support, "v").groupBy("tok").agg(F.max_by(one, "support").alias("x"), F.min_by(one, "v").alias("y"))
+    stars = members.join(leaders, "tok").select("v", "n", F.explode(F.array("x", "y")).alias("leader"))
+    stars = stars.where((F.col("v") != F.col("leader.v")) & (100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n")))
+    low, high = F.least(one, F.col("leader")), F.greatest(one, F.col("leader"))
+    pairs = stars.select(low.alias("low"), high.alias("high")).select(F.col("low.v").alias("a"), F.col("high.v").alias("b"), F.col("low.n").alias("n_a"), F.col("high.n").alias("n_b")).distinct()
+    found = cut(check(cut(bounded(pairs, points, percent), "stars")), "links")
     roots = cut(components(found), "roots")
     # Round two: buckets that still hold several components, one of each kind of membership.
     placed = cut(members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), "placed")
@@ -350,7 +421,7 @@ def links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataF
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = placed.join(mixed.select("tok", blocks.alias("blocks")), "tok").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        F.col("tok").alias("bucket"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.signum(F.col("block") - F.col("other")).cast("int").alias("side"), "v", "root"
+        F.col("tok").alias("bucket"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.signum(F.col("block") - F.col("other")).cast("int").alias("side"), "v", "n", "root"
     )
     crossing = tree_pairs(rows.join(points, "v"), percent)
     more = cut(check(cut(crossing, "crossing")), "links")
