@@ -41,8 +41,6 @@ SHARD_RUNS = 1_000_000
 HELD_RUNS = 50_000
 #: Bytes of contexts refined together, about.
 REFINED_BYTES = 8 << 20
-#: Documents and bytes up to which per-document lists are broadcast rather than shuffled with the texts.
-FEW_DOCS, FEW_BYTES = 500_000, 32 << 20
 #: In `at`, start << 8 | number of starts; this number marks a settled stretch whose length is in `c`.
 SETTLED = 255
 
@@ -282,13 +280,6 @@ def merged(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, RUNS)
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """docs joined to one list a document by `doc_id`, `mark`; broadcast if the lists are few and short, else shuffled."""
-    few = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_sd_list")), F.lit(0))).first()
-    small = few[0] <= FEW_DOCS and 16 * few[1] + 32 * few[0] <= FEW_BYTES
-    return docs.join(F.broadcast(lists) if small else lists, ["doc_id", "mark"], how)
-
-
 def fetched(docs: DataFrame, left_over: DataFrame) -> DataFrame:
     """The runs left over with the bytes of their contexts."""
 
@@ -306,7 +297,7 @@ def fetched(docs: DataFrame, left_over: DataFrame) -> DataFrame:
             yield pa.record_batch([*[pa.array(x, pa.int64()) for x in out[:5]], pa.array(out[5], pa.binary())], names=[*NAMES, "bytes"])
 
     lists = left_over.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "c", "at")).alias("_sd_list"))
-    return with_lists(docs, cut(lists, "lists"), "inner").select("doc_id", "mark", "text", "_sd_list").mapInArrow(run, RUNS + ", bytes binary")
+    return docs.join(lists, ["doc_id", "mark"]).select("doc_id", "mark", "text", "_sd_list").mapInArrow(run, RUNS + ", bytes binary")
 
 
 def single_strings(contexts: DataFrame) -> DataFrame:
@@ -384,9 +375,7 @@ def deduplicated(docs: DataFrame, lists: DataFrame | None = None, digest_only: b
 
     keyed = own.withColumns({"_sd_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_sd_mark": F.crc32(text_or_empty())})
     named = lists.select(F.col("doc_id").alias("_sd_id"), F.col("mark").alias("_sd_mark"), "_sd_list")
-    few = named.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_sd_list")), F.lit(0))).first()
-    small = few[0] <= FEW_DOCS and 16 * few[1] + 32 * few[0] <= FEW_BYTES
-    joined = keyed.join(F.broadcast(named) if small else named, ["_sd_id", "_sd_mark"], "left")
+    joined = keyed.join(named, ["_sd_id", "_sd_mark"], "left")
     out = joined.withColumn("_sd_out", remove(F.col("text").cast("string"), F.col("_sd_list")))
     names = [x.split()[0] for x in made.split(", ")][: -1 if digest_only else None]
     return out.select(*([] if not digest_only else ["doc_id"]), *([] if digest_only else [F.col(c) for c in docs.columns]), *[F.col("_sd_out")[c].alias(c if digest_only else f"_sd_{c}") for c in names])
