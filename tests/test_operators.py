@@ -190,7 +190,7 @@ def test_extraction_to_report_and_back(spark, tmp_path):
     flat = model.flat(model.functions_of(read))
     assert flat.count() == functions.count() and json.loads(text)["schema_version"] == 1
     bump = flat.where("name = 'bump'").first()
-    assert bump.branches == 3.0 and bump.enclosing_type == "Counter" and model.structs_of(read).count() == 6
+    assert bump.branches == 3.0 and bump.enclosing_type == "Counter" and model.structs_of(read).count() == 5
     assert files.scan(spark, HERE, "rust").count() == 1 and extraction.token_table(files.scan(spark, HERE, "rust")).where("kind = 'keyword' and text = 'match'").count() == 1
 
 
