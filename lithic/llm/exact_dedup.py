@@ -81,16 +81,11 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     known = cut(base.join(found, "_xd_row", "left"), "exact-known")
     first = F.min(F.struct((-F.col("_xd_chars")).alias("chars"), F.col("doc_id").alias("doc_id"), F.col("_xd_n").alias("n")))
     kept = known.where("_xd_name is not null").groupBy("_xd_level", "_xd_name").agg(F.count(F.lit(1)).alias("_xd_group"), first.alias("_xd_first"))
-    joined = known.join(kept, ["_xd_level", "_xd_name"], "left")
-    alone = F.col("_xd_first").isNull()
-    return joined.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("_xd_first.doc_id")).alias("keep_id"),
-        F.coalesce("_xd_group", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("_xd_first.n") == F.col("_xd_n"))).alias("kept"),
-        F.col("_xd_sha").alias("text_sha256"),
-        "_xd_row",
-    )
+    digest = [F.col("_xd_sha").alias("text_sha256"), "_xd_row"]
+    # Rows without a name are alone and need no join; as null keys they would all meet in one task.
+    alone = known.where("_xd_name is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *digest)
+    grouped = known.where("_xd_name is not null").join(kept, ["_xd_level", "_xd_name"])
+    return alone.unionAll(grouped.select("doc_id", F.col("_xd_first.doc_id").alias("keep_id"), F.col("_xd_group").alias("group_size"), (F.col("_xd_first.n") == F.col("_xd_n")).alias("kept"), *digest))
 
 
 def dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
