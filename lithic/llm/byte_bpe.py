@@ -16,12 +16,11 @@ import base64
 import hashlib
 import heapq
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_blocks
+from .common import byte_blocks, held
 from .tokens import PLAIN, Cache
 
 #: Bits of a word of the bitmap's lower level; the upper level has a bit for each of its words.
@@ -165,10 +164,9 @@ class ByteBpe:
         return b" ".join([x[0] for x in found]), b"".join([x[1] for x in found]), sum([x[2] for x in found])
 
 
-@lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> ByteBpe:
     """One for each worker process and vocabulary."""
-    return ByteBpe(path, pattern)
+    return held(("bytes", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:

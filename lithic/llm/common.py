@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task holds at once, at most (one longer document is held alone).
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,3 +57,16 @@ def byte_blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
             size += n
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+_HELD: dict = {}
+
+
+def held(key: tuple, make):
+    """A worker's helper with its caches. A worker keeps one at a time: operators follow each other in the same processes, and what
+    an earlier one kept would only take memory from the next."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]

@@ -22,22 +22,21 @@ row; columns other than doc_id and text are not looked at.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, cut
+from .common import byte_blocks, cut, held
 from .graph import components
 from .tokens import Cache
 
 #: Dimensions of a point; the largest count kept, beyond which a point is not pruned.
-GROUPS, FULL = 128, 65535
+GROUPS, FULL = 256, 65535
 #: Bins of the histogram of tokens (a power of two), the shift that gives a token's bin, and the pieces it is added up in.
 BINS, SHIFT, PIECES = 1 << 20, 44, 32
 #: Points of a leaf and children of a node of the R-tree; documents of a block.
 FAN, BLOCK = 16, 1024
-#: Needed documents up to which their ids (8 bytes each) are broadcast rather than shuffled with the texts.
+#: Needed documents up to which their ids (some 40 bytes each) are broadcast rather than shuffled with the texts.
 FEW_IDS = 500_000
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -48,7 +47,7 @@ class Shingler:
 
     def __init__(self, size: int):
         self.size = size
-        self.words = Cache(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 400_000)
+        self.words = Cache(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 200_000)
 
     def __call__(self, text: str | None):
         import numpy as np
@@ -67,9 +66,8 @@ class Shingler:
         return np.unique(out ^ (out >> np.uint64(32)))
 
 
-@lru_cache(maxsize=4)
 def shingler(size: int) -> Shingler:
-    return Shingler(size)
+    return held(("shingles", size), lambda: Shingler(size))
 
 
 def identity(found) -> tuple[int, int]:
@@ -131,7 +129,8 @@ def crowding(surveyed: DataFrame) -> bytes:
 
 
 def bucketed(docs: DataFrame, shingle: int, percent: int, crowded: bytes) -> DataFrame:
-    """tok, n, s1, s2 for the first tokens of each set. A task leaves out sets that it has just sent."""
+    """tok, n, s1 for the first tokens of each set. A task leaves out sets that it has just sent. Sets that share n and s1 by chance go on
+    as candidates together; the whole sets tell them apart."""
     levels = docs.sparkSession.sparkContext.broadcast(crowded)  # BINS bytes
 
     def run(batches):
@@ -152,14 +151,14 @@ def bucketed(docs: DataFrame, shingle: int, percent: int, crowded: bytes) -> Dat
                 first = n + (-percent * n) // 100 + 1
                 late = level[(found >> np.uint64(SHIFT)).astype(np.int64)]
                 toks.append(found[np.argsort(late, kind="stable")[:first]])
-                rows.append((n, *who, first))
+                rows.append((n, who[0], first))
             if toks:
-                times = [r[3] for r in rows]
-                cols = [np.concatenate(toks).view(np.int64), *[np.repeat(np.array([r[k] for r in rows], np.int64), times) for k in range(3)]]
+                times = [r[2] for r in rows]
+                cols = [np.concatenate(toks).view(np.int64), *[np.repeat(np.array([r[k] for r in rows], np.int64), times) for k in range(2)]]
                 for k in range(0, len(cols[0]), 100_000):
-                    yield pa.record_batch([pa.array(c[k : k + 100_000]) for c in cols], names=["tok", "n", "s1", "s2"])
+                    yield pa.record_batch([pa.array(c[k : k + 100_000]) for c in cols], names=["tok", "n", "s1"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "tok long, n long, s1 long, s2 long")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "tok long, n long, s1 long")
 
 
 def shared(tokens: DataFrame) -> DataFrame:
@@ -169,7 +168,7 @@ def shared(tokens: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        names, held, same_before = ["tok", "n", "s1", "s2"], None, False
+        names, held, same_before = ["tok", "n", "s1"], None, False
         for batch in batches:
             cols = [batch[k].to_numpy() for k in names]
             if held is not None:
@@ -187,7 +186,7 @@ def shared(tokens: DataFrame) -> DataFrame:
         if held is not None and same_before:
             yield pa.record_batch([pa.array(c) for c in held], names=names)
 
-    return tokens.repartition("tok").sortWithinPartitions("tok", "n", "s1", "s2").mapInArrow(run, "tok long, n long, s1 long, s2 long")
+    return tokens.repartition("tok").sortWithinPartitions("tok", "n", "s1").mapInArrow(run, "tok long, n long, s1 long")
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -233,15 +232,20 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
         of = shingler(shingle)
         for batch in byte_blocks(batches):
-            sets = [of(x.as_py()) for x in batch["text"]]
-            ids = [identity(x) for x in sets]
-            yield pa.record_batch([batch["doc_id"], pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "s1", "s2", "found"])
-
-    ids = wanted.select("doc_id").distinct()
+            vs, sets = [], []
+            for text, sought in zip(batch["text"], batch["sought"].to_pylist()):
+                found = of(text.as_py())
+                own = identity(found)
+                for x in sought:
+                    if (x["s1"], x["s2"]) == own:
+                        vs.append(x["v"])
+                        sets.append(found.tobytes())
+            yield pa.record_batch([pa.array(vs, pa.int64()), pa.array(sets, pa.binary())], names=["v", "found"])
+
+    sought = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("v", "s1", "s2")).alias("sought")), "sought")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    few = ids.count() <= FEW_IDS
-    found = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s1 long, s2 long, found binary")
-    return found.join(wanted.select("v", "doc_id", "s1", "s2"), ["doc_id", "s1", "s2"]).select("v", "found").dropDuplicates(["v"])
+    few = sought.count() <= FEW_IDS
+    return texts.join(F.broadcast(sought) if few else sought, "doc_id").mapInArrow(run, "v long, found binary").dropDuplicates(["v"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -396,7 +400,7 @@ def links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataF
     vertices = own.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"))
     vertices = cut(vertices.withColumn("v", F.monotonically_increasing_id()), "vertices")
     members = shared(bucketed(docs.where("doc_id is not null"), shingle, percent, crowded))
-    members = cut(members.join(vertices.select("s1", "s2", "v"), ["s1", "s2"]).select("tok", "v", "n"), "members")
+    members = cut(members.join(vertices.select("s1", "n", "v"), ["s1", "n"]).select("tok", "v", "n"), "members")
     points = vertices.select("v", "point")
     identities = vertices.select("v", "doc_id", "s1", "s2")
 
@@ -425,9 +429,13 @@ def links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataF
     )
     crossing = tree_pairs(rows.join(points, "v"), percent)
     more = cut(check(cut(crossing, "crossing")), "links")
-    # Later links join components; the first ones are kept as links to their roots.
-    edges = roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionAll(more)
-    return own, vertices, components(edges)
+    if more.head(1):  # later links join components, so only the roots that they touch are looked at again
+        root = lambda x: roots.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}"))
+        lifted = more.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        top = cut(components(lifted.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))), "roots")
+        roots = roots.unionAll(top.select("v", F.col("v").alias("root")).join(roots, "v", "left_anti"))
+        roots = roots.join(top.select(F.col("v").alias("root"), F.col("root").alias("_top")), "root", "left").select("v", F.coalesce("_top", "root").alias("root"))
+    return own, vertices, roots
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -34,13 +34,13 @@ from .common import cut, text_or_empty
 
 SPAN, ANCHOR = 100, 32
 #: Starts of a text that are looked at together, and bytes of texts hashed together.
-SEGMENT, STRETCH = 1 << 20, 1 << 21
+SEGMENT, STRETCH = 1 << 19, 1 << 20
 #: Runs that a task sorts together: a shard.
-SHARD_RUNS = 1_000_000
+SHARD_RUNS = 400_000
 #: Runs with one anchor up to which one task refines them.
 HELD_RUNS = 50_000
 #: Bytes of contexts refined together, about.
-REFINED_BYTES = 8 << 20
+REFINED_BYTES = 3 << 20
 #: In `at`, start << 8 | number of starts; this number marks a settled stretch whose length is in `c`.
 SETTLED = 255
 

@@ -10,11 +10,12 @@ import os
 import re
 import zlib
 from array import array
-from functools import lru_cache
+
+from .common import held
 
 END_ID = 1
 #: Words whose ids a worker keeps in each of two generations, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 300_000, 40
+CACHE_WORDS, CACHE_CHARS = 150_000, 40
 #: Letters that lower-case to one letter each and are already in composed form, then any ASCII marks.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 
@@ -68,10 +69,9 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> WordEncoder:
     """One for each worker process and vocabulary."""
-    return WordEncoder(path)
+    return held(("words", path), lambda: WordEncoder(path))
 
 
 def end_bytes(end_id: int = END_ID) -> bytes:
