@@ -175,6 +175,56 @@ def test_plan_is_optimal_on_small_cases():
     assert extra <= 1
 
 
+def test_plan_is_not_behind_best_fit_decreasing():
+    lengths = [1833, 1696, 1545, 1460, 1372, 1308, 1084, 1079]
+    patterns, proven = packing.plan_proven({k: 1 for k in lengths})
+    assert sum(t for t, _ in patterns) == 3 and proven
+    pick = random.Random(8)
+    for case in range(40):
+        items = sorted((pick.randint(5, 70) for _ in range(60)), reverse=True)
+        space: list[int] = []
+        for x in items:
+            room = min((s for s in space if s >= x), default=None)
+            if room is not None:
+                space.remove(room)
+            space.append((100 if room is None else room) - x)
+        histogram = {k: items.count(k) for k in items}
+        assert sum(t for t, _ in packing.best_fit(histogram, 100)) == len(space)
+        patterns, _ = packing.plan_proven(histogram, 100)
+        assert sum(t for t, _ in patterns) <= len(space)
+        assert all(sum(t * p.get(k, 0) for t, p in patterns) == n for k, n in histogram.items()) and all(sum(k * n for k, n in p.items()) <= 100 for _, p in patterns)
+
+
+def test_search_revisits_fillings():
+    """Against every way to pack: from a bad incumbent the search must come to the fewest sequences and prove it."""
+
+    def fewest(items, bins, best):
+        if len(bins) >= best:
+            return best
+        if not items:
+            return len(bins)
+        for room in {x for x in bins if x >= items[0]}:
+            rest = list(bins)
+            rest.remove(room)
+            best = min(best, fewest(items[1:], [*rest, room - items[0]], best))
+        return min(best, fewest(items[1:], [*bins, 100 - items[0]], best))
+
+    pick = random.Random(2)
+    for _ in range(60):
+        items = sorted((pick.randint(8, 60) for _ in range(10)), reverse=True)
+        histogram = {k: items.count(k) for k in items}
+        patterns, proven = packing.search(histogram, 100, [(1, {k: 1}) for k in items], packing.fewest_possible(histogram, 100), 10**6)
+        assert proven and sum(t for t, _ in patterns) == fewest(items, [], 11)
+
+
+def test_dominated():
+    counts = {30: 1, 20: 1, 10: 2, 7: 1}
+    present = sum(1 << k for k in counts)
+    assert packing.dominated([(20, 1), (10, 1)], 0, counts, present)  # 30 takes the place of both
+    assert packing.dominated([(7, 1)], 3, counts, present)  # 10 fits in the place of 7
+    assert not packing.dominated([(30, 1)], 0, counts, present) and not packing.dominated([(10, 2), (7, 1)], 0, counts, present & ~(1 << 20))
+
+
 blanks = re.compile(r"[\x20\x09-\x0D]+")
 
 
