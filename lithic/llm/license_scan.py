@@ -6,6 +6,11 @@ template's). A unit of size n can only reach the threshold t with templates of a
 templates, kept in memory by size, are pruned by size before any set is compared, and units outside all bounds go before their
 bigrams are made. Nothing is shuffled: each document is judged by its own row against a fixed list of templates.
 
+scan() judges those units, and oracle() is the same in SQL. scan_windows() judges every window of the whole text's words, so line
+breaks and neighbouring words hide no notice: a window has at most n*(2-t)/t bigrams for a template of n and begins and ends with a
+bigram of the template (others at its ends only lower Dice). Texts that share none of a template's rarer bigrams, so many that a match
+cannot miss them all, are left out before any window is made.
+
 Cases: null and empty text, or one without letters and digits, match nothing (license null, dice 0.0, n_matches 0); ties go to
 the licence, then the template, that comes first; repeated rows get the same answer; an empty table gives no row; other columns
 pass through, whatever their names, if they do not start with `_lic_`.
@@ -13,6 +18,7 @@ pass through, whatever their names, if they do not start with `_lic_`.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -78,6 +84,66 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     )
 
 
+#: Words that many texts have; bigrams of them are the last to look for.
+COMMON = set("a an and any as at be by for from in is it of on or such that the this to under which with you your".split())
+
+
+def bind(value: Column, use) -> Column:
+    """use(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def scan_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with license, dice (of the best window) and n_matches (templates that a window reaches the threshold with)."""
+    listed = [(name, i, template_bigrams(text)) for i, (name, text) in enumerate(templates)]
+    bound = (2 - threshold) / threshold
+    uses: dict[str, int] = {}
+    for *_, grams in listed:
+        for g in grams:
+            uses[g] = uses.get(g, 0) + 1
+    rarity = lambda g: (sum(w in COMMON for w in g.split()), uses[g], g)
+    needed = lambda grams: max(1, math.ceil(len(grams) / bound - 1e-9))
+    # A match has `needed` of the template's bigrams at least, so one of any n - needed + 1 of them.
+    rare = sorted({g for *_, grams in listed for g in sorted(grams, key=rarity)[: len(grams) - needed(grams) + 1]})
+    literal = lambda grams: F.split(F.lit("|".join(grams)), r"\|")
+    struct = "struct<dice:double,least:int,license:string>"
+    grams_of, mine = F.col("_lic_grams"), F.col("_lic_mine")
+
+    def best(name: str, i: int, grams: list[str]) -> Column:
+        k, need, longest = len(grams), needed(grams), int(len(grams) * bound + 1e-9)
+
+        def window(at: Column, a: Column, b: Column, shared: Column) -> Column:
+            own = F.array_distinct(F.slice(grams_of, F.get(at, a) + 1, F.get(at, b) - F.get(at, a) + 1))
+            return bind(own, lambda u: 2.0 * F.size(F.array_intersect(u, shared)) / (F.size(u) + k))
+
+        def windows(at: Column, shared: Column) -> Column:
+            """Dice of the best window; at: places of the template's bigrams."""
+            last = F.size(at) - 1
+            ends = lambda a: F.filter(F.sequence(a + (need - 1), F.least(last, a + (longest - 1))), lambda b: F.get(at, b) - F.get(at, a) < longest)
+            of_start = lambda a: F.array_max(F.transform(ends(a), lambda b: window(at, a, b, shared)))
+            return F.when(F.size(at) >= need, F.array_max(F.transform(F.sequence(F.lit(0), F.size(at) - need), of_start)))
+
+        def judged(shared: Column) -> Column:
+            places = F.filter(F.sequence(F.lit(0), F.size(grams_of) - 1), lambda p: F.array_contains(shared, F.get(grams_of, p)))
+            return F.when(F.size(shared) >= need, bind(places, lambda at: windows(at, shared)))
+
+        dice = bind(F.array_intersect(literal(grams), mine), judged)
+        return bind(dice, lambda d: F.when(d >= threshold, F.struct(d.alias("dice"), F.lit(-i).alias("least"), F.lit(name).alias("license"))).cast(struct))
+
+    known = sorted(uses)
+    words = words_of(text_or_empty())
+    pairs = bind(words, lambda w: F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))).otherwise(w))
+    found = F.filter(F.array(*[best(*x) for x in listed]), lambda b: b.isNotNull())
+    none = F.array().cast(f"array<{struct}>")
+    return (
+        docs.withColumn("_lic_grams", pairs)
+        .withColumn("_lic_mine", F.when(F.arrays_overlap("_lic_grams", literal(rare)), F.array_intersect(grams_of, literal(known))).otherwise(F.array().cast("array<string>")))
+        .withColumn("_lic_best", F.when(F.size("_lic_mine") > 0, found).otherwise(none))
+        .withColumns({"license": F.array_max("_lic_best")["license"], "dice": F.coalesce(F.array_max("_lic_best")["dice"], F.lit(0.0)), "n_matches": F.size("_lic_best").cast("long")})
+        .drop("_lic_grams", "_lic_mine", "_lic_best")
+    )
+
+
 def oracle(templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """The same in DuckDB's SQL."""
     values = ", ".join(f"({i}, '{name}', [{', '.join(repr(g) for g in template_bigrams(text))}])" for i, (name, text) in enumerate(templates))

@@ -76,6 +76,11 @@ def op3_license_dice(spark, sf_dir):
 ORACLE["op3_license_dice"] = license_scan.oracle()
 
 
+@query
+def op3_license_windows(spark, sf_dir):
+    return license_scan.scan_windows(documents(spark, sf_dir)).select("doc_id", "license", "dice", "n_matches")
+
+
 @query
 def op7_count_vector_tree(spark, sf_dir):
     return jaccard_join.near_duplicates(documents(spark, sf_dir), shingle=4, percent=85)

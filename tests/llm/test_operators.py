@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import public_tokenizers
@@ -369,6 +370,47 @@ def test_license_scan(docs, rows, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def brute_windows(text, templates, threshold=0.8):
+    """(license, dice, n_matches) by every window of a text's words that is no longer than a template's bound."""
+    words = re.sub(r"[^0-9a-z]+", " ", text.lower()).split()
+    grams = [" ".join(p) for p in zip(words, words[1:])] or words
+    found = []
+    for i, (name, wording) in enumerate(templates):
+        own = set(license_scan.template_bigrams(wording))
+        longest = int(len(own) * (2 - threshold) / threshold + 1e-9)
+        best = 0.0
+        for a in range(len(grams)):
+            seen = set()
+            for b in range(a, min(len(grams), a + longest)):
+                seen.add(grams[b])
+                best = max(best, 2.0 * len(seen & own) / (len(seen) + len(own)))
+        if best >= threshold:
+            found.append((best, -i, name))
+    return (max(found)[2], max(found)[0], len(found)) if found else (None, 0.0, 0)
+
+
+def test_license_windows_find_wrapped_and_embedded_notices(spark, docs, empty):
+    wrap = lambda text, lead="": "\n".join(lead + line for line in textwrap.wrap(text, 60))
+    by = dict(license_scan.TEMPLATES)
+    texts = [
+        ("GPL-3.0", prose(20) + "\n" + wrap(by["GPL-3.0"], "# ") + "\n" + prose(20)),
+        ("MIT", prose(15) + "\n" + wrap(by["MIT"], " * ") + "\n" + prose(15)),
+        ("Proprietary", "Copyright 2020 Example. All rights reserved."),
+        ("MIT", "The code of this page is here. Released under the MIT License. " + prose(10)),
+        ("ISC", prose(9) + " " + by["ISC"].replace("copy, modify", "copy or modify").replace("any purpose", "every purpose") + " " + by["ISC"]),
+        (None, prose(80)),
+        (None, ""),
+        (None, "License"),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.dice, r.n_matches) for r in license_scan.scan_windows(frame).collect()}
+    assert got.pop(99) == (None, 0.0, 0)
+    for i, (license, text) in enumerate(texts):
+        assert got[i] == pytest.approx(brute_windows(text, license_scan.TEMPLATES)) and got[i][0] == license
+    assert license_scan.scan_windows(empty).count() == 0
+    assert license_scan.scan_windows(docs).columns == [*docs.columns, "license", "dice", "n_matches"]
+
+
 def brute_counts(text):
     text = text or ""
     words = [w for w in blanks.split(text) if w]
