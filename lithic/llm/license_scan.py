@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .license_templates import TEMPLATES
+from .license_templates import PARAGRAPHS, TEMPLATES
 
 THRESHOLD = 0.8
 
@@ -93,7 +93,7 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def scan_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = (*TEMPLATES, *PARAGRAPHS), threshold: float = THRESHOLD) -> DataFrame:
     """The documents with license, dice (of the best window) and n_matches (templates that a window reaches the threshold with)."""
     listed = [(name, i, template_bigrams(text)) for i, (name, text) in enumerate(templates)]
     bound = (2 - threshold) / threshold

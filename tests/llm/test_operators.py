@@ -403,7 +403,7 @@ def test_license_windows_find_wrapped_and_embedded_notices(spark, docs, empty):
         (None, "License"),
     ]
     frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)] + [(99, None)], "doc_id long, text string")
-    got = {r.doc_id: (r.license, r.dice, r.n_matches) for r in license_scan.scan_windows(frame).collect()}
+    got = {r.doc_id: (r.license, r.dice, r.n_matches) for r in license_scan.scan_windows(frame, license_scan.TEMPLATES).collect()}
     assert got.pop(99) == (None, 0.0, 0)
     for i, (license, text) in enumerate(texts):
         assert got[i] == pytest.approx(brute_windows(text, license_scan.TEMPLATES)) and got[i][0] == license
@@ -411,6 +411,18 @@ def test_license_windows_find_wrapped_and_embedded_notices(spark, docs, empty):
     assert license_scan.scan_windows(docs).columns == [*docs.columns, "license", "dice", "n_matches"]
 
 
+@pytest.mark.parametrize("license,lead", [("MIT", ""), ("Apache-2.0", " * "), ("BSD-3-Clause", "# "), ("BSD-2-Clause", "// "), ("GPL-3.0", ""), ("AGPL-3.0", "; "), ("CC-BY-SA-4.0", "")])
+def test_license_windows_find_full_texts(spark, license, lead):
+    """The paragraphs of a licence wrapped in a document find it, and leave the units of whole lines and texts without it."""
+    whole = "\n\n".join(t for name, t in license_scan.PARAGRAPHS if name == license)
+    text = prose(30) + "\n" + "\n".join(lead + line for line in textwrap.wrap(whole, 72)) + "\n" + prose(30)
+    row = license_scan.scan_windows(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    every = [*license_scan.TEMPLATES, *license_scan.PARAGRAPHS]
+    assert (row.license, row.dice, row.n_matches) == pytest.approx(brute_windows(text, every)) and row.license == license
+    if license == "MIT":
+        assert license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().license is None
+
+
 def brute_counts(text):
     text = text or ""
     words = [w for w in blanks.split(text) if w]
