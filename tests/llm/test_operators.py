@@ -338,6 +338,16 @@ def test_substring_dedup_empty(empty):
     assert substring_dedup.deduplicated(empty, digest_only=True).count() == 0
 
 
+@pytest.mark.parametrize("held", [substring_dedup.HELD_RUNS, 1])
+def test_substring_dedup_rows_read_twice(spark, rows, held, monkeypatch):
+    """Rows alike in doc_id and text are one document: each copy has the result of the one."""
+    monkeypatch.setattr(substring_dedup, "HELD_RUNS", held)
+    twice = spark.createDataFrame(rows + rows[::-1], "doc_id long, text string").repartition(3)
+    got = substring_dedup.deduplicated(twice, digest_only=True).collect()
+    expected = brute_repeats(rows)
+    assert len(got) == 2 * len(rows) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id] for r in got)
+
+
 def test_sharding(spark, docs, rows, empty):
     got = sharding.shard(docs.drop("shard", "size")).collect()
     assert len(got) == len(rows)
