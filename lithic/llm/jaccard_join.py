@@ -451,6 +451,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one of each component: the one whose doc_id is smallest. Rows without doc_id stay."""
-    gone = near_duplicates(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The documents with one row of each component: the one whose doc_id is smallest, rows without doc_id last."""
+    key = "doc_id"
+    keyed = docs
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").head(1):
+        # Repeated or missing ids name no row, so each row gets a number in the order of doc_id.
+        key = "_jj_row"
+        order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("_jj_at")]
+        placed = cut(docs.withColumn("_jj_at", F.monotonically_increasing_id()), "placed")
+        keyed = cut(placed.orderBy(*order).withColumn(key, F.monotonically_increasing_id()).drop("_jj_at"), "keyed")
+    named = keyed.select(F.col(key).alias("doc_id"), "text")
+    gone = near_duplicates(named, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return keyed.join(gone, keyed[key] == gone["_gone"], "left_anti").select(*docs.columns)

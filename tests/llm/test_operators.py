@@ -281,6 +281,15 @@ def test_jaccard_join(docs, rows, k, percent):
         assert kept.columns == docs.columns and kept.count() == len({c for _, c in expected.values()})
 
 
+def test_jaccard_dedup_decides_by_row(spark):
+    """Repeated and missing doc_ids: one row of each component stays, whatever ids its rows have."""
+    clean, other = prose(60), prose(60)
+    table = [(1, BASE), (2, BASE + " more"), (2, clean), (3, other), (3, other), (None, other), (None, PASSAGE), (None, PASSAGE), (4, None)]
+    got = jaccard_join.dedup(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, got), key=key) == sorted([(1, BASE), (2, clean), (3, other), (None, PASSAGE), (4, None)], key=key)
+
+
 def test_jaccard_join_empty(empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
