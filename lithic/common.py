@@ -15,6 +15,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write to spark.checkpoint.dir and read back; a local folder serves only where the session names none."""
     spark = df.sparkSession
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints", f"run-{os.getpid()}")
         os.makedirs(base, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", base)
