@@ -16,13 +16,22 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Python workers get texts in Arrow batches of BLOCK_BYTES (Spark's own default is 64 MB, held several times over on both sides)."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))) > BLOCK_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints", f"run-{os.getpid()}")
         os.makedirs(base, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -36,6 +45,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write to the shared folder and read back: the rows no longer depend on any executor."""
+    bounded_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -66,7 +76,19 @@ def held(key: tuple, make):
     """A worker's helper with its caches. A worker keeps one at a time: operators follow each other in the same processes, and what
     an earlier one kept would only take memory from the next."""
     if key not in _HELD:
-        _HELD.clear()
-        gc.collect()
+        freed()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def freed() -> None:
+    """A worker without helpers, its memory given back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

@@ -313,19 +313,20 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int = tokens.END_ID, cap
     schema = PIECES.replace("copy long, ", "mark long, ") + ", ids binary" * keep_ids
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        encode, end, width = tokens.encoder(vocabulary).encode, tokens.end_bytes(end_id), 4 * capacity
+        encoder, names = tokens.encoder(vocabulary), [x.split()[0] for x in schema.split(", ")]
         for batch in byte_blocks(batches):
-            rows = []
-            for doc_id, mark, text in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), batch["text"]):
-                ids = encode(text.as_py()) + end
-                for k in range(0, len(ids), width):
-                    own = ids[k : k + width]
-                    rows.append((doc_id, mark, k // width, k // 4, len(own) // 4, tokens.crc(own), own))
-            names = [x.split()[0] for x in schema.split(", ")]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.record_batch([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names=names)
+            ids, at = encoder.encode_all(batch["text"], end_id)
+            n_pieces = -(-np.diff(at) // capacity)
+            doc = np.repeat(np.arange(batch.num_rows), n_pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+            first = at[doc] + piece * capacity
+            last = np.minimum(first + capacity, at[doc + 1])
+            whole = [ids[a:b] for a, b in zip(first.tolist(), last.tolist())]
+            cols = [batch["doc_id"].take(pa.array(doc)), batch["mark"].take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(last - first), pa.array([tokens.crc(x) for x in whole], pa.int64())]
+            yield pa.record_batch([*cols, *[pa.array([x.tobytes() for x in whole], pa.binary())] * keep_ids], names=names)
 
     found = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("mark"), F.col("text").cast("string")).mapInArrow(run, schema)
     return found.withColumnRenamed("mark", "copy")

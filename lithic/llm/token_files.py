@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, fresh_path
+from .common import byte_blocks, cut, fresh_path
 
 SEQUENCE = 2048
 #: Sequences in a record batch.
@@ -53,18 +53,18 @@ class SequenceWriter:
         self.out = pa.ipc.new_file(sink, self.schema)
         self.parts, self.starts, self.held, self.n_sequences = [], [], 0, 0
 
-    def add(self, ids: bytes) -> None:
-        found = self.np.frombuffer(ids, dtype="<u4").astype(self.dtype)
-        self.starts.append(self.held)
-        self.parts.append(found)
-        self.held += len(found)
+    def add(self, ids, firsts) -> None:
+        """ids of documents, one after the other, and the place of each one's first."""
+        self.starts.append(firsts + self.held)
+        self.parts.append(ids.astype(self.dtype))
+        self.held += len(ids)
         if self.held >= self.length * BATCH:
             self.flush(self.held // self.length // BATCH * BATCH)
 
     def flush(self, n: int, last: bool = False) -> None:
         np, pa, size = self.np, self.pa, self.length
         ids = np.concatenate(self.parts) if self.parts else np.zeros(0, self.dtype)
-        at = np.asarray(self.starts, dtype=np.int64)
+        at = np.concatenate(self.starts) if self.starts else np.zeros(0, np.int64)
         marks = np.zeros(max(len(ids), n * size), dtype=bool)
         marks[at] = True
         valid = np.arange(n * size) < len(ids)
@@ -74,7 +74,7 @@ class SequenceWriter:
             cols = [full[k * size : (k + BATCH) * size], valid[k * size : (k + BATCH) * size], marks[k * size : min(n, k + BATCH) * size]]
             self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(c), size) for c in cols], schema=self.schema))
         self.n_sequences += n
-        self.parts, self.starts = [ids[n * size :]], [x - n * size for x in self.starts if x >= n * size]
+        self.parts, self.starts = [ids[n * size :]], [at[at >= n * size] - n * size]
         self.held = max(0, len(ids) - n * size)
 
     def close(self) -> None:
@@ -128,32 +128,31 @@ def write_sequences(docs: DataFrame, vocabulary: str, end_id: int = tokens.END_I
         import numpy as np
         import pyarrow as pa
 
-        encode, end = tokens.encoder(vocabulary).encode, tokens.end_bytes(end_id)
-        writer, index, total, first = None, [], 0, None
+        encoder, most = tokens.encoder(vocabulary), np.iinfo(dtype).max
+        writer, first, n_docs, total = None, None, 0, 0
         fs, folder = file_system(target)
         name = f"{folder}/{uuid.uuid4().hex}"
-        for batch in batches:
-            for doc_id, text, mark in zip(batch["doc_id"].to_pylist(), batch["text"], batch["_hash"].to_pylist()):
-                if writer is None:
-                    fs.create_dir(folder, recursive=True)
-                    sink, first = fs.open_output_stream(f"{name}.part"), (doc_id, mark)
-                    writer = SequenceWriter(sink, dtype, sequence)
-                ids = encode(text.as_py()) + end
-                if np.dtype(dtype).itemsize < 4 and len(ids) > 4 and np.frombuffer(ids, "<u4").max() > np.iinfo(dtype).max:
-                    raise ValueError(f"an id does not fit {dtype}")
-                writer.add(ids)
-                index.append((doc_id, total, len(ids) // 4))
-                total += len(ids) // 4
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+        for batch in byte_blocks(batches):
+            if writer is None:
+                fs.create_dir(folder, recursive=True)
+                first = batch["doc_id"][0].as_py(), batch["_hash"][0].as_py()
+                sink, index_sink = fs.open_output_stream(f"{name}.part"), fs.open_output_stream(f"{name}.index.part")
+                writer, index = SequenceWriter(sink, dtype, sequence), pa.ipc.new_file(index_sink, schema)
+            ids, at = encoder.encode_all(batch["text"], end_id)
+            if ids.max() > most:
+                raise ValueError(f"an id does not fit {dtype}")
+            writer.add(ids, at[:-1])
+            index.write_batch(pa.record_batch([batch["doc_id"], pa.array(total + at[:-1]), pa.array(np.diff(at))], schema=schema))
+            n_docs, total = n_docs + batch.num_rows, total + len(ids)
         if writer is None:
             return
-        writer.close()
-        sink.close()
+        for out in (writer, sink, index, index_sink):
+            out.close()
+        fs.move(f"{name}.index.part", f"{name}.index.arrow")
         fs.move(f"{name}.part", f"{name}.arrow")
-        table = pa.table({"doc_id": pa.array([x[0] for x in index], pa.int64()), "start": [x[1] for x in index], "n_tokens": [x[2] for x in index]})
-        with fs.open_output_stream(f"{name}.index.arrow") as out, pa.ipc.new_file(out, table.schema) as file:
-            file.write_table(table, max_chunksize=65536)
         uri = target + name[len(folder):]
-        yield pa.record_batch([[f"{uri}.arrow"], [f"{uri}.index.arrow"], pa.array([first[0]], pa.int64()), pa.array([first[1]], pa.int64()), [len(index)], [total], [writer.n_sequences]], names=[x.split()[0] for x in MANIFEST.split(", ")])
+        yield pa.record_batch([[f"{uri}.arrow"], [f"{uri}.index.arrow"], pa.array([first[0]], pa.int64()), pa.array([first[1]], pa.int64()), [n_docs], [total], [writer.n_sequences]], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash")).repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
     return cut(ordered.mapInArrow(write, MANIFEST), "token-manifest")
