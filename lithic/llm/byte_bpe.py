@@ -279,10 +279,12 @@ class ByteBpe:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def encode(self, text: str) -> list[int]:
+    def whole(self, text: str | None) -> tuple[bytes, bytes, int]:
+        """Decimal ids joined by a blank, the bytes they decode to, and their number, of one text."""
         import pyarrow as pa
 
-        return [int(x) for x in bytes(self.encode_all(pa.array([text], pa.string()))[0][0]).split()]
+        (ids, _), (decoded, _) = self.encode_all(pa.array([text], pa.string()))
+        return bytes(ids)[:-1], bytes(decoded), bytes(ids).count(b" ")
 
     def encode_all(self, column):
         """Of all texts of an Arrow column: decimal ids, a blank after each, one after the other, and each text's first byte (with the end
