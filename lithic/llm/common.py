@@ -51,6 +51,22 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_columns(docs: DataFrame) -> list:
+    """The columns as they are, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def aside(docs: DataFrame, made) -> DataFrame:
+    """docs with each column whose name is among `made` (in any case), the names that an operator gives, renamed to `<name>_input`, with
+    more `_input` where that name is taken too. No value is lost."""
+    made, names = {m.lower() for m in made}, list(docs.columns)
+    for k, name in enumerate(names):
+        while name.lower() in made or (name != docs.columns[k] and name.lower() in {c.lower() for c in docs.columns}):
+            name += "_input"
+        names[k] = name
+    return docs.toDF(*names) if names != docs.columns else docs
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

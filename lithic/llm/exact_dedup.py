@@ -7,11 +7,12 @@ one number. Two documents get the same number on the same level only if their te
 Numbers are written before they are used, so that a task run again cannot number anew.
 
 Only distinct blocks and pairs are sorted, after partial aggregation; a block that a third of all documents share is one row
-there, and its copies meet it in a plain equi-join, whose large partitions Spark splits. No group is collected.
+there, and its copies meet it in a plain equi-join, whose large partitions Spark splits. Rows of a document count once there, so copies of
+one row do not. Groups of more than one row in HEAVY meet their rows by a broadcast of at most HEAVY groups, the others by a join. No group
+is collected, and no join whose sides grow with the input is broadcast.
 
 Cases: null text counts as empty, and all empty texts are one group; ties in length go to the smallest doc_id (null first), rows
-alike in every respect keep one of them; an empty table gives no row; other columns pass through, whatever their names, as long
-as they do not start with `_xd_`.
+alike in every respect keep one of them; an empty table gives no row; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import aside, cut, text_or_empty
 
 #: Code points in a block.
 BLOCK = 2048
+#: A group with more than one row in so many is large: there are at most so many large groups.
+HEAVY = 10_000
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
@@ -45,7 +48,7 @@ def identities(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     whole = F.when(F.col("_xd_text") == "", F.array(F.lit(""))).otherwise(blocks)
     parts = texts.select("_xd_row", F.posexplode(whole).alias("_xd_at", "_xd_block"), F.size(whole).alias("_xd_n"))
     names = named(parts, ["_xd_block"], "_xd_name")
-    level = cut(parts.join(names, "_xd_block").select("_xd_row", "_xd_at", "_xd_n", "_xd_name"), "level")
+    level = cut(parts.join(names.hint("merge"), "_xd_block").select("_xd_row", "_xd_at", "_xd_n", "_xd_name"), "level")
     longest = level.agg(F.max("_xd_n")).first()[0] or 0
     done, depth = [level.where("_xd_n = 1").select("_xd_row", F.lit(0).alias("_xd_level"), "_xd_name")], 0
     while longest > 1:
@@ -57,7 +60,7 @@ def identities(texts: DataFrame, block: int = BLOCK) -> DataFrame:
             .fillna(-1, ["_xd_right"])
         )
         names = named(pairs, ["_xd_left", "_xd_right"], "_xd_name")
-        level = cut(pairs.join(names, ["_xd_left", "_xd_right"]).select("_xd_row", "_xd_at", "_xd_n", "_xd_name"), "level")
+        level = cut(pairs.join(names.hint("merge"), ["_xd_left", "_xd_right"]).select("_xd_row", "_xd_at", "_xd_n", "_xd_name"), "level")
         done.append(level.where("_xd_n = 1").select("_xd_row", F.lit(depth).alias("_xd_level"), "_xd_name"))
         longest = (longest + 1) // 2
     return reduce(DataFrame.unionAll, done)
@@ -76,15 +79,20 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     base = cut(rows.drop("text", "_xd_text").withColumn("_xd_n", F.monotonically_increasing_id()), "exact-base")
     shared = cut(base.groupBy("_xd_hash", "_xd_size").count().where("count > 1").select("_xd_hash", "_xd_size"), "exact-shared")
     # Copies of one row need a name once; the texts are read again for rows that share hash and size alone.
-    alike = rows.select("_xd_row", "_xd_text", "_xd_hash", "_xd_size").join(shared, ["_xd_hash", "_xd_size"], "left_semi").select("_xd_row", "_xd_text")
-    found = identities(alike, block).dropDuplicates(["_xd_row"])
-    known = cut(base.join(found, "_xd_row", "left"), "exact-known")
+    alike = rows.select("_xd_row", "_xd_text", "_xd_hash", "_xd_size").join(shared.hint("merge"), ["_xd_hash", "_xd_size"], "left_semi").select("_xd_row", "_xd_text")
+    found = identities(cut(alike, "exact-alike"), block).dropDuplicates(["_xd_row"])
+    known = cut(base.join(found.hint("merge"), "_xd_row", "left"), "exact-known")
     first = F.min(F.struct((-F.col("_xd_chars")).alias("chars"), F.col("doc_id").alias("doc_id"), F.col("_xd_n").alias("n")))
-    kept = known.where("_xd_name is not null").groupBy("_xd_level", "_xd_name").agg(F.count(F.lit(1)).alias("_xd_group"), first.alias("_xd_first"))
+    name = ["_xd_level", "_xd_name"]
+    kept = cut(known.where("_xd_name is not null").groupBy(*name).agg(F.count(F.lit(1)).alias("_xd_group"), first.alias("_xd_first")), "exact-groups")
     digest = [F.col("_xd_sha").alias("text_sha256"), "_xd_row"]
     # Rows without a name are alone and need no join; as null keys they would all meet in one task.
     alone = known.where("_xd_name is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *digest)
-    grouped = known.where("_xd_name is not null").join(kept, ["_xd_level", "_xd_name"])
+    named_ = known.where("_xd_name is not null")
+    most = max(1, known.count() // HEAVY)
+    heavy, light = kept.where(F.col("_xd_group") > most), kept.where(F.col("_xd_group") <= most)
+    rest = named_.join(F.broadcast(heavy.select(*name)), name, "left_anti")
+    grouped = named_.join(F.broadcast(heavy), name).unionByName(rest.join(light.hint("merge"), name))
     return alone.unionAll(grouped.select("doc_id", F.col("_xd_first.doc_id").alias("keep_id"), F.col("_xd_group").alias("group_size"), (F.col("_xd_first.n") == F.col("_xd_n")).alias("kept"), *digest))
 
 
@@ -92,4 +100,5 @@ def dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The documents with one row of each group of equal texts."""
     kept = groups(docs, block).where("kept").select("_xd_row")
     made = ["_xd_text", "_xd_sha", "_xd_chars", "_xd_hash", "_xd_size", "_xd_row"]
-    return keyed(docs).join(kept, "_xd_row", "left_semi").dropDuplicates(["_xd_row"]).drop(*made)
+    found = keyed(aside(docs, made)).join(kept.hint("merge"), "_xd_row", "left_semi").dropDuplicates(["_xd_row"]).drop(*made)
+    return found.toDF(*docs.columns)

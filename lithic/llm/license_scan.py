@@ -13,7 +13,7 @@ cannot miss them all, are left out before any window is made.
 
 Cases: null and empty text, or one without letters and digits, match nothing (license null, dice 0.0, n_matches 0); ties go to
 the licence, then the template, that comes first; repeated rows get the same answer; an empty table gives no row; other columns
-pass through, whatever their names, if they do not start with `_lic_`.
+pass through, those with the name of a result as `<name>_input`.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import aside, text_or_empty
 from .license_templates import PARAGRAPHS, TEMPLATES
 
 THRESHOLD = 0.8
+MADE = ("license", "dice", "n_matches", "_lic_sets", "_lic_best", "_lic_grams", "_lic_mine")
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -77,7 +78,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     sets = F.filter(F.transform(sized, bigrams_of), lambda b: (F.size(b) >= least - 1e-9) & (F.size(b) <= most + 1e-9) & F.arrays_overlap(b, known))
     best = F.filter(F.transform("_lic_sets", judged), lambda b: b.isNotNull())
     return (
-        docs.withColumn("_lic_sets", sets)
+        aside(docs, MADE).withColumn("_lic_sets", sets)
         .withColumn("_lic_best", F.when(F.size("_lic_sets") > 0, best).otherwise(F.array().cast(f"array<{struct}>")))
         .withColumns({"license": F.array_max("_lic_best")["license"], "dice": F.coalesce(F.array_max("_lic_best")["dice"], F.lit(0.0)), "n_matches": F.size("_lic_best").cast("long")})
         .drop("_lic_sets", "_lic_best")
@@ -136,7 +137,7 @@ def scan_windows(docs: DataFrame, templates: Sequence[tuple[str, str]] = (*TEMPL
     found = F.filter(F.array(*[best(*x) for x in listed]), lambda b: b.isNotNull())
     none = F.array().cast(f"array<{struct}>")
     return (
-        docs.withColumn("_lic_grams", pairs)
+        aside(docs, MADE).withColumn("_lic_grams", pairs)
         .withColumn("_lic_mine", F.when(F.arrays_overlap("_lic_grams", literal(rare)), F.array_intersect(grams_of, literal(known))).otherwise(F.array().cast("array<string>")))
         .withColumn("_lic_best", F.when(F.size("_lic_mine") > 0, found).otherwise(none))
         .withColumns({"license": F.array_max("_lic_best")["license"], "dice": F.coalesce(F.array_max("_lic_best")["dice"], F.lit(0.0)), "n_matches": F.size("_lic_best").cast("long")})

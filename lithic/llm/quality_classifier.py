@@ -4,13 +4,15 @@ Small trees are grown on statistics of labelled texts; each path from a root to
 A lasso-penalised logistic regression weighs the rules and most weights end at nought; what is left is a sum of `when`
 expressions over the statistics, so scoring is one projection that Catalyst compiles, without Python beyond the statistics.
 
-Fitting uses at most SAMPLE labelled rows, the first in the order of a hash of doc_id (documented bound; a fit needs no more);
-scoring covers every row. Only rows whose crc32(doc_id as text) mod 4 is not 2 are learnt from, and labels, lang, source and
+Fitting uses at most SAMPLE labelled rows, the first in the order of a hash of doc_id (documented bound; a fit needs no more). A histogram
+of the labelled rows' hashes says how far the sample reaches, so only its texts are read for the fit and only its rows come to the driver.
+Scoring covers every row and reads it once. Only rows whose crc32(doc_id as text) mod 4 is not 2 are learnt from, and labels, lang, source and
 doc_id are never inputs.
 
 Cases: a null or empty text has all statistics 0 and is scored by them; without labels of both kinds the score is the share of
 label 1 in the sample (0.5 without any); several labels of one document all count; repeated rows get the same score; an empty
-table gives no row; other columns pass through `score` untouched.
+table gives no row; a null doc_id is never learnt from and its held_out is false; other columns pass through `score`, those with the name
+of a result as `<name>_input`.
 """
 
 from __future__ import annotations
@@ -21,13 +23,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import aside, own_columns
 from .text_stats import COUNTS, counts
 
 SAMPLE = 20_000
 TREES, DEPTH, LEAF, CUTS = 30, 3, 20, 24
 PENALTY = 2e-3
 THRESHOLD = 0.7
+#: Bits of the hash by which the sample is found.
+STEPS = 12
+MADE = ("held_out", "score", "predicted")
 HELD_OUT = 2
 
 
@@ -165,15 +170,25 @@ def compiled(model: dict, columns: list[Column]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
-def learn(counted: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fits on at most `sample` labelled rows of the learning folds. counted: doc_id and `_counts`."""
-    import numpy as np
-
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    """Fits on at most `sample` labelled rows of the learning folds."""
     names = list(features(F.col("_counts")))
-    known = labels.select(F.col("doc_id").alias("_labelled"), F.col("quality").cast("int").alias("_quality")).where("_quality in (0, 1)").distinct()
-    learning = counted.select("doc_id", "_counts").where(~held_out(F.col("doc_id")))
+    place = F.shiftright(F.xxhash64("doc_id"), 64 - STEPS)
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("_quality")).where("_quality in (0, 1)").distinct()
+    known = known.where(~held_out(F.col("doc_id"))).withColumn("_place", place)
+    # How many rows there are up to each of 2^STEPS places in the order of the hash.
+    sizes = docs.select("doc_id").join(known, "doc_id").groupBy("_place").count().collect()
+    reach, last = 0, None
+    for row in sorted(sizes):
+        if reach >= sample:
+            break
+        reach, last = reach + row["count"], row["_place"]
+    chosen = known.where(F.col("_place") <= (last if last is not None else -(1 << STEPS))).drop("_place")
+    # Both sides lose what the sample does not reach before they meet.
+    learning = docs.select("doc_id", "text").where(place <= last) if last is not None else docs.select("doc_id", "text").limit(0)
     rows = (
-        learning.join(known, F.col("doc_id") == F.col("_labelled"))
+        learning.join(chosen, "doc_id")
+        .select("doc_id", "_quality", counts(F.col("text")).alias("_counts"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "_quality")
         .limit(sample)
         .select(*[c.alias(k) for k, c in features(F.col("_counts")).items()], "_quality")
@@ -183,15 +198,25 @@ def learn(counted: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     return model | {"features": names}
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
-    """The documents with `_counts`, `held_out`, `score` and `predicted`; the text goes unless keep_text."""
-    if keep_text:  # the counts are made anew beside the text rather than written with it
-        model = learn(cut(docs.select("doc_id", counts(F.col("text")).alias("_counts")), "counts"), labels)
-        counted = docs.withColumn("_counts", counts(F.col("text")))
-    else:
-        counted = cut(docs.withColumn("_counts", counts(F.col("text"))).drop("text"), "counts")
-        model = learn(counted, labels)
-    made = list(features(F.col("_counts")).items())
-    wide = counted.withColumns({f"_f_{k}": c for k, c in made})
-    scored = wide.withColumn("score", compiled(model, [F.col(f"_f_{k}") for k, _ in made])).drop(*[f"_f_{k}" for k, _ in made])
-    return scored.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int")})
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with one more column `_qc_out`: score, predicted and held_out."""
+    model = learn(docs, labels)
+    made = list(features(F.col("_qc_counts")).items())
+    wide = aside(docs, ["_qc_counts", "_qc_score", "_qc_out", *[f"_qc_{k}" for k, _ in made]])
+    own = own_columns(wide)
+    wide = wide.withColumn("_qc_counts", counts(F.col("text"))).withColumns({f"_qc_{k}": c for k, c in made})
+    wide = wide.withColumn("_qc_score", compiled(model, [F.col(f"_qc_{k}") for k, _ in made]))
+    out = F.struct(F.col("_qc_score").alias("score"), (F.col("_qc_score") >= threshold).cast("int").alias("predicted"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
+    return wide.select(*own, out.alias("_qc_out"))
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, without their texts, with `held_out`, `score` and `predicted`."""
+    found = scored(aside(docs, MADE), labels, threshold).drop("text")
+    return found.select("*", "_qc_out.held_out", "_qc_out.score", "_qc_out.predicted").drop("_qc_out")
+
+
+def good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are predicted to be good, with their own columns as they are."""
+    found = scored(docs, labels, threshold).where("_qc_out.predicted = 1").drop("_qc_out")
+    return found.toDF(*docs.columns)

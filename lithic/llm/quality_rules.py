@@ -1,12 +1,14 @@
 """Operator 9: quality rules as weak supervision.
 
-Each rule votes good or bad on a document or abstains. Documents share few vote patterns (three outcomes a rule, so at most
-3^rules of them), which are counted over all documents; expectation-maximisation on those counts estimates the share of good
-documents and each rule's accuracy in both classes, and a document is kept where its posterior probability of being good
-reaches the threshold. No rule alone drops a document. Only the base test, which the contract fixes, does that.
-
-Cases: a null or empty text has no word and fails the base test; repeated rows get the same verdict each; an empty table gives no
-row; other columns, whatever their names, pass through `judge` untouched.
+Each rule votes good or bad on a document or abstains; every fault has two rules or more. Documents share few vote patterns (three
+outcomes a rule, so at most 3^rules of them), which are counted over all documents; expectation-maximisation on those counts estimates the
+share of good documents and each rule's accuracy among good and among bad ones, without labels and without bounds: a Beta prior of ten
+votes is all that is given, and the first guess is the share of good votes in the pattern, which also fixes which class is which. A
+document is kept where its posterior probability of being good reaches the threshold. No rule alone drops a document, and none has to
+pass. Only the base test, which the contract fixes, drops by itself.
+
+Cases: a null or empty text has no word and fails the base test; repeated rows get the same verdict each; a posterior equal to the
+threshold keeps; an empty table gives no row; other columns pass through `judge`, those with the name of a result as `<name>_input`.
 """
 
 from __future__ import annotations
@@ -16,15 +18,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import aside, cut
 from .text_stats import counts
 
 THRESHOLD = 0.5
-ROUNDS = 200
-#: Votes of each kind that are added to a rule's, its least chance of an outcome, and the largest share of a class.
-EXTRA, LEAST, MOST = 0.5, 1e-4, 0.99
-#: A rule is written so that it votes bad on no more than this share of the good documents; no estimate goes beyond it.
-FALSE_ALARMS = 0.005
+ROUNDS, CLOSE = 500, 1e-9
+#: Votes that are added to a rule's, right and wrong: its accuracy is held to be 0.8 before any vote is seen.
+PRIOR = (8.0, 2.0)
+MADE = ("_counts", "_votes", "posterior", "base_failed", "kept")
 
 
 def rules(s: Column) -> dict[str, tuple[Column, Column]]:
@@ -33,19 +34,28 @@ def rules(s: Column) -> dict[str, tuple[Column, Column]]:
     letters = F.greatest(s["n_upper"] + s["n_lower"], F.lit(1)).cast("double")
     lines = F.greatest(s["n_lines"], F.lit(1)).cast("double")
     chars = F.greatest(s["word_chars"], F.lit(1)).cast("double")
-    ratio = lambda top, low, high, under: (top / under < low, top / under > high)
-    mean = chars / words
-    enough = s["n_words"] >= 50
+    enough, several = s["n_words"] >= 20, s["n_lines"] >= 3
+
+    def ratio(value: Column, good: float, bad: float, when: Column = F.lit(True)) -> tuple[Column, Column]:
+        return when & (value < good), when & (value > bad)
+
+    mean, distinct, stops, ended = chars / words, s["n_distinct_words"] / words, s["n_stops"] / words, s["n_ended_lines"] / lines
     return {
-        "symbols": ratio(s["n_symbols"], 0.02, 0.10, words),
-        "capitals": ratio(s["n_upper"], 0.20, 0.50, letters),
-        "repeats": ratio(s["n_repeat_words"], 0.05, 0.28, words),
-        "same_lines": ((s["n_lines"] >= 3) & (s["n_dup_lines"] / lines < 0.10), (s["n_dup_lines"] >= 2) & (s["n_dup_lines"] / lines > 0.50)),
-        "word_length": ((mean >= 3) & (mean <= 10), (mean < 2.5) | (mean > 14)),
-        "vocabulary": (enough & (s["n_distinct_words"] / words > 0.35), enough & (s["n_distinct_words"] / words < 0.15)),
-        "exclaims": ratio(s["n_exclaims"], 0.05, 0.25, words),
-        "marks": ratio(s["n_marks"], 0.10, 0.25, chars),
-        "line_ends": ((s["n_lines"] >= 3) & (s["n_ended_lines"] / lines > 0.60), (s["n_lines"] >= 5) & (s["n_ended_lines"] / lines < 0.10)),
+        # Marks instead of prose.
+        "symbols": ratio(s["n_symbols"] / words, 0.02, 0.10),
+        "marks": ratio(s["n_marks"] / chars, 0.08, 0.10, enough),
+        "bars": ratio(s["n_bars"] / words, 0.01, 0.08),
+        # Shouting.
+        "capitals": ratio(s["n_upper"] / letters, 0.10, 0.50, enough),
+        "exclaims": ratio(s["n_exclaims"] / words, 0.05, 0.25, enough),
+        # Repetition.
+        "repeats": ratio(s["n_repeat_words"] / words, 0.05, 0.28, enough),
+        "vocabulary": (enough & (distinct > 0.45), enough & (distinct < 0.25)),
+        "same_lines": (several & (s["n_dup_lines"] / lines < 0.10), (s["n_dup_lines"] >= 2) & (s["n_dup_lines"] / lines > 0.30)),
+        # Not sentences.
+        "word_length": (enough & (mean >= 4.2) & (mean <= 6.0), enough & ((mean < 3.6) | (mean > 6.8))),
+        "line_ends": (several & (ended > 0.60), several & (ended < 0.10)),
+        "stops": (enough & (stops > 0.03) & (stops < 0.25), enough & (stops < 0.005)),
     }
 
 
@@ -54,43 +64,40 @@ def pattern(s: Column) -> Column:
     return F.concat(*[F.when(bad, "-").when(good, "+").otherwise("0") for good, bad in rules(s).values()])
 
 
-def posteriors(patterns: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
+def posteriors(patterns: dict[str, int], rounds: int = ROUNDS, prior: tuple[float, float] = PRIOR) -> dict[str, float]:
     """Probability of good for each vote pattern, by expectation-maximisation over all documents' patterns.
 
-    Both classes have a share, and each rule a chance of either vote in each class, given that it votes; its accuracies are the
-    chances of + among good and of - among bad documents. No vote speaks against its own sense. A first guess takes documents with a bad vote for bad ones, which also fixes which class is which.
-    """
+    The model: a document is good with some chance, and a rule that votes is right with a chance of its own among good documents and
+    another among bad ones; whether it abstains says nothing."""
     if not patterns:
         return {}
-    n_rules, total = len(next(iter(patterns))), sum(patterns.values())
-    good = {v: 0.1 if "-" in v else 0.95 for v in patterns}
-    prior = None
+    n_rules, total, (right, wrong) = len(next(iter(patterns))), sum(patterns.values()), prior
+    good = {v: (v.count("+") + 1) / (v.count("+") + v.count("-") + 2) for v in patterns}
     for _ in range(rounds):
-        share = sum(n * good[v] for v, n in patterns.items()) / total
-        share = min(MOST, max(0.5, share))
+        share = (sum(n * good[v] for v, n in patterns.items()) + 1) / (total + 2)
         logs = []
         for r in range(n_rules):
-            seen = {v: [EXTRA, EXTRA] for v in "+-"}
+            seen = {(c, k): 0.0 for c in "+-0" for k in (0, 1)}  # votes by kind, among good (0) and bad (1) documents
             for v, n in patterns.items():
-                if v[r] in seen:
-                    seen[v[r]][0] += n * good[v]
-                    seen[v[r]][1] += n * (1 - good[v])
-            sums = [sum(x[k] for x in seen.values()) for k in (0, 1)]
-            chance = {v: [max(LEAST, x[k] / sums[k]) for k in (0, 1)] for v, x in seen.items()}
-            chance["-"][0] = min(chance["-"][0], FALSE_ALARMS)
-            logs.append({v: math.log(a / b) for v, (a, b) in chance.items()})
-            logs[-1] = {"0": 0.0, "+": max(0.0, logs[-1]["+"]), "-": min(0.0, logs[-1]["-"])}  # to abstain says nothing
+                seen[v[r], 0] += n * good[v]
+                seen[v[r], 1] += n * (1 - good[v])
+            among_good = (seen["+", 0] + right) / (seen["+", 0] + seen["-", 0] + right + wrong)
+            among_bad = (seen["-", 1] + right) / (seen["+", 1] + seen["-", 1] + right + wrong)
+            logs.append({"0": 0.0, "+": math.log(among_good / (1 - among_bad)), "-": math.log((1 - among_good) / among_bad)})
         odds = math.log(share / (1 - share))
-        good = {v: 1 / (1 + math.exp(-max(-50, min(50, odds + sum(logs[r][c] for r, c in enumerate(v)))))) for v in patterns}
-        if prior is not None and abs(share - prior) < 1e-9:
+        before, good = good, {v: logistic(odds + sum(logs[r][c] for r, c in enumerate(v))) for v in patterns}
+        if max(abs(good[v] - before[v]) for v in patterns) < CLOSE:
             break
-        prior = share
     return good
 
 
+def logistic(x: float) -> float:
+    return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
+
+
 def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with `_counts`, `_votes`, `posterior`, `base_failed` and `kept`. Reads docs once."""
-    counted = cut(docs.withColumn("_counts", counts(F.col("text"))).drop("text").withColumn("_votes", pattern(F.col("_counts"))), "votes")
+    counted = cut(aside(docs, MADE).withColumn("_counts", counts(F.col("text"))).drop("text").withColumn("_votes", pattern(F.col("_counts"))), "votes")
     # At most 3^rules rows; each is one document's pattern at least.
     found = posteriors({r["_votes"]: r["count"] for r in counted.groupBy("_votes").count().collect()})
     table = docs.sparkSession.createDataFrame(sorted(found.items()), "_votes string, posterior double")

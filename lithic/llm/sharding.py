@@ -5,27 +5,29 @@ eight runs of nearly equal bytes. Each round counts, over all rows, the exact by
 inside every interval that still holds a target, and narrows each interval to the candidate cell around its target, until a
 boundary is within the tolerance. Boundaries between different hashes come first, which keeps equal texts in one shard; only where
 a group of equal texts is itself larger than the tolerance allows does the search go on inside it, by doc_id. Then rows are
-exchanged once, dealt over many cells of each shard, and numbered within their cells from the cells' counts.
+exchanged once, into key ranges that are sorted and written; a range holds some CELL_BYTES, and a group of equal texts is parted by doc_id.
+A row's slot is its place in the order of its shard, so every shard is sorted.
 
-The driver sees histograms of at most 65,536 cells a splitter and the counts of cells, never rows.
+The driver sees histograms of at most 65,536 cells a splitter and a count for each range, never rows.
 
 Cases: null text has no bytes, so its size is 1, its crc that of no bytes; a null doc_id sorts first; rows alike in hash and
-doc_id stay together; an empty table gives no row; other columns pass through, whatever their names, if they do not start
-with `_hs_`.
+doc_id stay together; an empty table gives no row; other columns pass through, those with the name of a result as `<name>_input`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import aside, cut, text_or_empty
 
 SHARDS = 8
 #: Part of a shard's bytes by which a boundary may miss its target.
 TOLERANCE = 0.005
-#: Rows that one cell of a shard should hold at the end.
-CELL_ROWS = 200_000
+#: Bytes that a sorted range should hold.
+CELL_BYTES = 256 << 20
+MADE = ("size", "law", "shard", "slot", "grown_shard")
+KEYS = ("_hs_hash", "_hs_id", "_hs_size", "_hs_at", "_hs_range", "_hs_first")
 BITS = 16
 
 
@@ -95,24 +97,22 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
 def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """The documents, exchanged once, with size, law, shard, slot and grown_shard (null under this law)."""
     spark = docs.sparkSession
-    keyed = order_key(docs)
+    keyed = order_key(aside(docs, [*MADE, *KEYS]))
     rows = cut(keyed.select("_hs_hash", "_hs_id", "_hs_size"), "order")
     edges = splitters(rows, shards, tolerance)
     place = sum([at_or_above(e).cast("int") for e in edges], F.lit(0))
-    n_cells = max(32, rows.count() // (shards * CELL_ROWS))
-    cell = F.pmod(F.xxhash64("_hs_id", "_hs_hash"), F.lit(n_cells)).cast("int")
-    # shards x cells rows, a cell for some 200,000 rows.
-    counted = rows.select(place.alias("shard"), cell.alias("_hs_cell")).groupBy("shard", "_hs_cell").count().collect()
+    total = rows.agg(F.sum("_hs_size")).first()[0] or 0
+    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // CELL_BYTES)
+    order = ["_hs_hash", "_hs_id", "_hs_size"]
+    # Written once, so that the ranges and the places in them are the same for all who read. A place is the range << 33 | a number in it.
+    sorted_ = cut(keyed.withColumn("shard", place).repartitionByRange(n_ranges, *order).sortWithinPartitions(*order).withColumn("_hs_at", F.monotonically_increasing_id()), "shards")
+    by_range = sorted_.withColumn("_hs_range", F.shiftright("_hs_at", 33))
+    # A row for each range, and one more for each boundary between shards.
     before, offsets = {}, []
-    for r in sorted(counted):
-        offsets.append((r["shard"], r["_hs_cell"], before.get(r["shard"], 0)))
-        before[r["shard"]] = before.get(r["shard"], 0) + r["count"]
-    starts = spark.createDataFrame(offsets, "shard int, _hs_cell int, _hs_before long")
-    own = Window.partitionBy("shard", "_hs_cell").orderBy("_hs_hash", "_hs_id", "_hs_size")
-    return (
-        keyed.withColumns({"shard": place, "_hs_cell": cell})
-        .withColumn("_hs_rank", F.row_number().over(own))
-        .join(F.broadcast(starts), ["shard", "_hs_cell"])
-        .withColumns({"size": F.col("_hs_size"), "law": F.lit("bytes"), "slot": F.col("_hs_before") + F.col("_hs_rank") - 1, "grown_shard": F.lit(None).cast("int")})
-        .drop("_hs_hash", "_hs_id", "_hs_size", "_hs_cell", "_hs_before", "_hs_rank")
-    )
+    for r in sorted(by_range.groupBy("shard", "_hs_range").agg(F.min("_hs_at").alias("at"), F.count(F.lit(1)).alias("n")).collect()):
+        offsets.append((r["shard"], r["_hs_range"], r["at"] - before.get(r["shard"], 0)))
+        before[r["shard"]] = before.get(r["shard"], 0) + r["n"]
+    starts = spark.createDataFrame(offsets, "shard int, _hs_range long, _hs_first long")
+    placed = by_range.join(F.broadcast(starts), ["shard", "_hs_range"])
+    made = {"size": F.col("_hs_size"), "law": F.lit("bytes"), "slot": F.col("_hs_at") - F.col("_hs_first"), "grown_shard": F.lit(None).cast("int")}
+    return placed.withColumns(made).drop(*KEYS)

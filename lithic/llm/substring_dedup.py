@@ -1,26 +1,29 @@
-"""Operator 4: removal of repeated passages, by merging shards' sparse Burrows-Wheeler orders.
+"""Operator 4: removal of repeated passages, by merging shards' Burrows-Wheeler transforms.
 
 A byte goes when a string of SPAN bytes that covers it also starts earlier (smaller doc_id, or the same document, earlier start).
 
 Sampling. Every string of SPAN bytes has one anchor: the place of the smallest hash among its ANCHOR-byte windows. Equal strings
 have their anchor at the same offset, and neighbouring strings mostly share theirs, so the strings of a text fall into runs of
-starts, about one for 35 bytes, each named by its anchor. The runs stand for all suffixes; none is lost.
+starts, about one for 35 bytes, each with its anchor's hash. A run whose anchor no other run has holds no repeated string: it goes before
+any suffix is sorted. What hashes say is used for that alone; whether strings are equal is always decided by their bytes.
 
-Shards. Each task sorts the runs of its texts by anchor and context: the sparse suffix order of its shard. Runs with equal contexts
-are repeated intervals already there; all but the first are settled, and only the first is sent on.
+Shards. Each task sorts the runs of its texts by anchor and context (the bytes of all strings of the run). Runs whose contexts have the same
+bytes are one repeated interval of the shard: all but the first are settled there, and only the first is sent on.
 
-Merge. Runs are exchanged by anchor, so that the shards' orders interleave. Equal contexts are settled in one scan. Where an anchor
-still has runs with different contexts (the edges of passages), their bytes are fetched and the interleave is refined: rank by
-first byte, then again and again by (own rank, rank of the suffix as many bytes on), each round doubling the common prefix of a
-block, from the ranks of the round before and without comparing texts again, until blocks share SPAN bytes. A block with several
-starts is a repeated interval; its first start stays. A full merge goes a byte a round over every suffix of the corpus; sampling
-and doubling leave out only what cannot hold a string of SPAN bytes (see README).
+Merge. Runs that share an anchor meet with the bytes of their contexts, and contexts with the same bytes are settled as before. The
+different ones (the edges of passages) are parted by document into shards; each shard's suffixes are sorted once and give its transform
+and the step from a suffix to the one a byte longer (`transform`). The transforms are then merged by refinement of their interleave
+(`merged_blocks`): from the interleave by the first h bytes the one by h + 1 follows by a stable sort of the transforms' symbols and one
+step, so no suffix is sorted again, and no text is read. The rounds give the common prefixes: two neighbours part in the round of their
+first difference. A block with one suffix can have no equal any more and leaves, and round SPAN ends the merge. The blocks left are the
+repeated intervals; the first start of each stays.
 
-Anchors with more runs than one task should hold are dealt by the strings themselves instead and settled by the scan.
+An anchor with more than HELD_RUNS runs is a hot passage. Its strings are dealt to all tasks by their digests, and settled there by their
+bytes in the same way.
 
 Cases: null text counts as empty; texts shorter than SPAN keep all bytes; rows alike in doc_id and text are one document and get
 its result each; rows with one doc_id and different texts are told apart, and ordered, by the texts' crc; a null doc_id comes
-first; an empty table gives no row; other columns pass through `deduplicated`, if they do not start with `_sd_`.
+first; an empty table gives no row; other columns pass through `deduplicated`, those with the name of a result as `<name>_input`.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import aside, cut, own_columns, text_or_empty
 
 SPAN, ANCHOR = 100, 32
 #: Starts of a text that are looked at together, and bytes of texts hashed together.
@@ -39,13 +42,14 @@ SEGMENT, STRETCH = 1 << 19, 1 << 20
 SHARD_RUNS = 400_000
 #: Runs with one anchor up to which one task refines them.
 HELD_RUNS = 50_000
-#: Bytes of contexts refined together, about.
-REFINED_BYTES = 3 << 20
+#: Bytes of contexts merged together, about, and the shards they are parted into.
+MERGED_BYTES, SHARDS = 3 << 19, 4
 #: In `at`, start << 8 | number of starts; this number marks a settled stretch whose length is in `c`.
 SETTLED = 255
 
 RUNS = "h long, c long, doc_id long, mark long, at long"
 NAMES = ["h", "c", "doc_id", "mark", "at"]
+MADE = ("_sd_id", "_sd_mark", "_sd_list", "_sd_out", "_sd_n_bytes", "_sd_n_removed", "_sd_n_spans", "_sd_kept_sha256", "_sd_kept")
 
 
 def mixed(x):
@@ -126,17 +130,29 @@ def shard_runs(docs: DataFrame) -> DataFrame:
         key = mixed(doc[at].view(np.uint64) + mixed(start[at].view(np.uint64))).view(np.int64)
         return [key, total, doc[at], mark[at], start[at] << 8 | SETTLED]
 
-    def shard(held, np, pa):
-        doc, mark, start, count, h, c = (np.concatenate(x) for x in zip(*held))
+    def same_bytes(data, x, y, size, np):
+        """Whether the `size` bytes from place x on are those from place y on."""
+        words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        ok = np.ones(len(x), bool)
+        for off in range(0, int(size.max(initial=0)), 8):
+            at = np.minimum(off, size - 8)
+            ok &= words[x + at] == words[y + at]
+        return ok
+
+    def shard(held, data, np, pa):
+        data = np.frombuffer(data, np.uint8)
+        doc, mark, start, count, h, c, place = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((start, mark, doc, c, h))
-        doc, mark, start, count, h, c = (x[order] for x in (doc, mark, start, count, h, c))
+        doc, mark, start, count, h, c, place = (x[order] for x in (doc, mark, start, count, h, c, place))
         again = np.zeros(len(h), bool)
-        again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+        again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (count[1:] == count[:-1])
+        at = np.flatnonzero(again)
+        again[at] = same_bytes(data, place[at], place[at - 1], count[at] - 1 + SPAN, np)
         own = again.copy()  # the very same start of a row read twice is no repetition
         own[1:] &= (doc[1:] == doc[:-1]) & (mark[1:] == mark[:-1]) & (start[1:] == start[:-1])
         repeated = again & ~own
         back = np.lexsort((start[repeated], mark[repeated], doc[repeated]))
-        sent = [h[~again], c[~again], doc[~again], mark[~again], start[~again] << 8 | count[~again]]
+        sent = [h[~again], np.zeros(int((~again).sum()), np.int64), doc[~again], mark[~again], start[~again] << 8 | count[~again]]
         done = settled([x[repeated][back] for x in (doc, mark, start, count)], np)
         cols = [np.concatenate([a, b]) for a, b in zip(sent, done)]
         for k in range(0, len(cols[0]), 100_000):
@@ -146,119 +162,164 @@ def shard_runs(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        held, n_held, pieces, owners, size = [], 0, [], [], 0
+        held, n_held, pieces, owners, size, data = [], 0, [], [], 0, bytearray()
 
         def hashed():
             nonlocal pieces, owners, size
             piece, start, count, h, c = runs_of(pieces)
             of = np.array(owners, np.int64).reshape(-1, 3)[piece]
+            begins = len(data) + np.cumsum([0, *map(len, pieces)])[piece]
+            data.extend(b"".join(pieces))
             pieces, owners, size = [], [], 0
-            return of[:, 0].copy(), of[:, 1].copy(), start + of[:, 2], count, h.view(np.int64), c.view(np.int64)
+            return of[:, 0].copy(), of[:, 1].copy(), start + of[:, 2], count, h.view(np.int64), c.view(np.int64), begins + start
 
         for batch in batches:
             for doc, mark, text in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), batch["text"]):
-                data = text.as_buffer().to_pybytes()
-                for off in range(0, len(data) - SPAN + 1, SEGMENT):
-                    pieces.append(data[off : off + SEGMENT + SPAN - 1])
+                own = text.as_buffer().to_pybytes()
+                for off in range(0, len(own) - SPAN + 1, SEGMENT):
+                    pieces.append(own[off : off + SEGMENT + SPAN - 1])
                     owners.append((doc, mark, off))
                     size += len(pieces[-1])
                     if size >= STRETCH:
                         held.append(hashed())
                         n_held += len(held[-1][0])
                 if n_held >= SHARD_RUNS:
-                    yield from shard(held, np, pa)
+                    yield from shard(held, bytes(data), np, pa)
                     held, n_held = [], 0
+                    data.clear()
         if pieces:
             held.append(hashed())
         if held:
-            yield from shard(held, np, pa)
+            yield from shard(held, bytes(data), np, pa)
 
     return docs.select("doc_id", "mark", "text").mapInArrow(run, RUNS)
 
 
-def interleaved(runs: DataFrame) -> DataFrame:
-    """One scan of the shards' runs, met by anchor: settled stretches (count in `c`), and, with SETTLED not set, the runs left over."""
+def sharing(runs: DataFrame) -> DataFrame:
+    """The shards' settled stretches, and the runs whose anchor another run has: a scan of sorted partitions that holds one row back."""
 
     def scan(batches):
         import numpy as np
         import pyarrow as pa
 
-        before = first = None  # the last row; the last row that stays, held back until the next that stays
-        mixed_before = False
+        held, shared = None, False  # the last run, and whether the one before it has its anchor
         for batch in batches:
             cols = [batch[k].to_numpy() for k in NAMES]
             done = (cols[4] & 255) == SETTLED
-            out = [[x[done] for x in cols]]
-            cols = [x[~done] for x in cols]
+            out, cols = [x[done] for x in cols], [x[~done] for x in cols]
             if len(cols[0]):
-                wide = [np.concatenate([[b], x]) for b, x in zip(before, cols)] if before is not None else [np.concatenate([x[:1], x]) for x in cols]
-                same = (wide[0][1:] == wide[0][:-1]) & (wide[1][1:] == wide[1][:-1])
-                alike = same & (wide[2][1:] == wide[2][:-1]) & (wide[3][1:] == wide[3][:-1]) & (wide[4][1:] == wide[4][:-1])
-                if before is None:
-                    same[0] = alike[0] = False
-                before = [x[-1] for x in cols]
-                again = same & ~alike
-                starts, counts = cols[4][again] >> 8, cols[4][again] & 255
-                out.append([cols[0][again], counts, cols[2][again], cols[3][again], starts << 8 | SETTLED])
-                kept = [x[~same] for x in cols]
-                if len(kept[0]):
-                    if first is not None:
-                        kept = [np.concatenate([[f], x]) for f, x in zip(first, kept)]
-                    near = kept[0][1:] == kept[0][:-1]
-                    several = np.append(near, False) | np.insert(near, 0, mixed_before if len(near) == 0 else (first is not None and mixed_before))
-                    if len(near):
-                        mixed_before = bool(near[-1])
-                    first = [x[-1] for x in kept]
-                    out.append([x[:-1][several[:-1]] for x in kept])
-            joined = [np.concatenate(x) for x in zip(*out)]
-            if len(joined[0]):
-                yield pa.record_batch([pa.array(x) for x in joined], names=NAMES)
-        if first is not None and mixed_before:
-            yield pa.record_batch([pa.array([int(x)], pa.int64()) for x in first], names=NAMES)
-
-    return runs.repartition("h").sortWithinPartitions(*NAMES).mapInArrow(scan, RUNS)
-
-
-def refined(pieces: list[bytes], n_starts):
-    """Ranks of the first SPAN bytes at each of the first n_starts places of each piece: equal ranks, equal strings.
-
-    Rounds of interleave refinement: a rank at depth 2k is that of (rank at k, rank k bytes on at k)."""
+                if held is not None:
+                    cols = [np.concatenate([a, b]) for a, b in zip(held, cols)]
+                near = cols[0][1:] == cols[0][:-1]
+                several = np.append(near, False) | np.insert(near, 0, shared)
+                held, shared = [x[-1:] for x in cols], bool(several[-1])
+                out = [np.concatenate([a, b[:-1][several[:-1]]]) for a, b in zip(out, cols)]
+            if len(out[0]):
+                yield pa.record_batch([pa.array(x) for x in out], names=NAMES)
+        if held is not None and shared:
+            yield pa.record_batch([pa.array(x) for x in held], names=NAMES)
+
+    return runs.repartition("h").sortWithinPartitions("h").mapInArrow(scan, RUNS)
+
+
+def transform(strings: list[bytes]):
+    """The Burrows-Wheeler transform of strings, each with an end of its own: symbols (byte + 1; 0 before a string's first byte), the row of
+    the suffix that is longer by the symbol, and each row's place in the strings, which lie one after the other with a byte between."""
     import numpy as np
 
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    rank, depth = data.astype(np.int64), 1
-    while depth < SPAN:
-        step = min(depth, SPAN - depth)
-        rank = rank[:-step] * (int(rank.max()) + 1) + rank[step:]
-        order = np.argsort(rank, kind="stable")
-        along = rank[order]
-        split = np.zeros(len(rank), np.int64)
-        split[1:] = along[1:] != along[:-1]
-        rank[order] = np.cumsum(split)
-        depth += step
-    begins = np.cumsum([0, *map(len, pieces[:-1])])
-    at = np.repeat(begins, n_starts) + np.concatenate([np.arange(n) for n in n_starts])
-    return rank[at]
-
-
-def merged(contexts: DataFrame) -> DataFrame:
-    """Settled starts among runs with one anchor and different contexts. contexts: RUNS and `bytes`."""
+    text = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.uint16) + 1
+    ends = np.cumsum([len(x) + 1 for x in strings]) - 1
+    text[ends] = 0
+    n = len(text)
+    # Ranks by prefixes of doubling length; ends are told apart from the start, so that no prefix goes beyond one.
+    rank = text.astype(np.int64) + len(strings)
+    rank[ends] = np.arange(len(strings))
+    depth = 1
+    while True:
+        further = np.full(n, -1)
+        further[: n - depth] = rank[depth:]
+        key = rank * (n + len(strings) + 258) + further + 1
+        order = np.argsort(key, kind="stable")
+        new = np.ones(n, np.int64)
+        new[1:] = key[order][1:] != key[order][:-1]
+        rank[order] = np.cumsum(new) - 1
+        depth *= 2
+        if new.all():
+            break
+    symbols = text[order - 1]
+    longer = np.empty(n, np.int32)
+    longer[np.argsort(symbols, kind="stable")] = np.arange(n)
+    return symbols, longer, order
+
+
+def merged_blocks(shards: list[list[bytes]], depth: int = SPAN):
+    """Repeated intervals of all shards' strings: arrays block, shard, place in the shard's strings. Suffixes of one block have the same
+    first `depth` bytes, and no other suffix has them."""
+    import numpy as np
+
+    made = [transform(x) for x in shards if x]
+    of = [k for k, x in enumerate(shards) if x]
+    if not made:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    firsts = np.cumsum([0, *[len(x[0]) for x in made]])
+    symbols = np.concatenate([x[0] for x in made])
+    longer = np.concatenate([x[1] + np.int32(at) for x, at in zip(made, firsts)])
+    # The interleave by no byte: shard after shard, all in one block.
+    rows, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    for _ in range(depth):
+        own = symbols[rows]
+        inner = own > 0
+        rows, block, own = rows[inner], block[inner], own[inner]
+        order = np.argsort(own, kind="stable")
+        rows, block, own = longer[rows[order]], block[order], own[order]
+        first = np.ones(len(rows) + 1, bool)
+        first[1:-1] = (own[1:] != own[:-1]) | (block[1:] != block[:-1])
+        kept = ~(first[:-1] & first[1:])  # blocks of two or more
+        rows, block = rows[kept], np.cumsum(first[:-1])[kept].astype(np.int32)
+        if not len(rows):
+            break
+    shard = np.searchsorted(firsts, rows, side="right") - 1
+    places = np.concatenate([x[2] for x in made])[rows]
+    return block, np.array(of)[shard], places
+
+
+def merged(contexts: DataFrame, keys: list[str]) -> DataFrame:
+    """Settled starts among runs that share the keys. contexts: RUNS and `bytes`."""
 
     def flush(rows, np, pa):
-        counts = [r[4] & 255 for r in rows]
-        rank = refined([r[5] for r in rows], counts)
-        doc, mark, start = (np.repeat(np.array([f(r) for r in rows], np.int64), counts) for f in (lambda r: r[2], lambda r: r[3], lambda r: r[4] >> 8))
-        start += np.concatenate([np.arange(n) for n in counts])
-        order = np.lexsort((start, mark, doc, rank))
+        """Settled stretches of runs that are sorted by anchor, document and start."""
+        seen: dict[bytes, int] = {}
+        done, left = [], []
+        for row in rows:
+            if seen.setdefault(row[5], len(left)) < len(left):
+                done.append(row)  # one interval with an earlier run
+            else:
+                left.append(row)
+        shards, owners = [[] for _ in range(SHARDS)], [[] for _ in range(SHARDS)]
+        for row in left:
+            shards[row[2] % SHARDS].append(row[5])
+            owners[row[2] % SHARDS].append(row)
+        block, shard, place = merged_blocks(shards)
+        doc, mark, start = (np.zeros(len(block), np.int64) for _ in range(3))
+        for k in range(SHARDS):
+            here = shard == k
+            begins = np.cumsum([0, *[len(x) + 1 for x in shards[k]]])
+            string = np.searchsorted(begins, place[here], side="right") - 1
+            for col, value in ((doc, [r[2] for r in owners[k]]), (mark, [r[3] for r in owners[k]]), (start, [r[4] >> 8 for r in owners[k]])):
+                col[here] = np.array(value, np.int64)[string] if len(value) else 0
+            start[here] += place[here] - begins[string]
+        order = np.lexsort((start, mark, doc, block))
         again = np.zeros(len(order), bool)
-        again[1:] = rank[order][1:] == rank[order][:-1]
-        doc, mark, start = (x[order][again] for x in (doc, mark, start))
+        again[1:] = block[order][1:] == block[order][:-1]
+        whole = [np.array([f(r) for r in done], np.int64) for f in (lambda r: r[2], lambda r: r[3], lambda r: r[4] >> 8, lambda r: r[4] & 255)]
+        doc, mark, start = (np.concatenate([x[order][again], y]) for x, y in zip((doc, mark, start), whole))
+        count = np.concatenate([np.ones(int(again.sum()), np.int64), whole[3]])
         back = np.lexsort((start, mark, doc))
-        doc, mark, start = doc[back], mark[back], start[back]
+        doc, mark, start, count = doc[back], mark[back], start[back], count[back]
         new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (start[1:] != start[:-1] + 1)
+        new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (start[1:] != start[:-1] + count[:-1])
         at = np.flatnonzero(new)
-        total = np.diff(np.append(at, len(doc)))
+        total = np.add.reduceat(count, at) if len(at) else np.zeros(0, np.int64)
         zero = np.zeros(len(at), np.int64)
         return pa.record_batch([pa.array(x) for x in (zero, total, doc[at], mark[at], start[at] << 8 | SETTLED)], names=NAMES)
 
@@ -271,7 +332,7 @@ def merged(contexts: DataFrame) -> DataFrame:
             for row in zip(*(batch[k].to_pylist() for k in [*NAMES, "bytes"])):
                 if rows and row[:5] == rows[-1][:5]:  # a row read twice brings its runs twice, which is no repetition
                     continue
-                if size > REFINED_BYTES and row[0] != rows[-1][0]:
+                if size > MERGED_BYTES and row[:2] != rows[-1][:2]:
                     yield flush(rows, np, pa)
                     rows, size = [], 0
                 rows.append(row)
@@ -279,7 +340,7 @@ def merged(contexts: DataFrame) -> DataFrame:
         if rows:
             yield flush(rows, np, pa)
 
-    return contexts.repartition("h").sortWithinPartitions(*NAMES).mapInArrow(run, RUNS)
+    return contexts.repartition(*keys).sortWithinPartitions(*NAMES).mapInArrow(run, RUNS)
 
 
 def fetched(docs: DataFrame, left_over: DataFrame) -> DataFrame:
@@ -303,7 +364,7 @@ def fetched(docs: DataFrame, left_over: DataFrame) -> DataFrame:
 
 
 def single_strings(contexts: DataFrame) -> DataFrame:
-    """Each string of the runs as a run of its own, named by its digest."""
+    """Each string of the runs as a run of its own, dealt by its digest."""
 
     def run(batches):
         import numpy as np
@@ -313,11 +374,12 @@ def single_strings(contexts: DataFrame) -> DataFrame:
             rows = []
             for doc, mark, at, data in zip(*(batch[k].to_pylist() for k in ("doc_id", "mark", "at", "bytes"))):
                 for k in range(at & 255):
-                    h, c = np.frombuffer(hashlib.blake2b(data[k : k + SPAN], digest_size=16).digest(), "<i8").tolist()
-                    rows.append((h, c, doc, mark, (at >> 8) + k << 8 | 1))
-            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=NAMES)
+                    own = data[k : k + SPAN]
+                    h, c = np.frombuffer(hashlib.blake2b(own, digest_size=16).digest(), "<i8").tolist()
+                    rows.append((h, c, doc, mark, (at >> 8) + k << 8 | 1, own))
+            yield pa.record_batch([*[pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], pa.array([r[5] for r in rows], pa.binary())], names=[*NAMES, "bytes"])
 
-    return contexts.mapInArrow(run, RUNS)
+    return contexts.mapInArrow(run, RUNS + ", bytes binary")
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -330,14 +392,15 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, mark and `_sd_list` of (start, count): the places where a string starts that also starts earlier."""
     own = prepared(docs)
     is_settled = F.col("at").bitwiseAND(F.lit(255)) == SETTLED
-    scanned = cut(interleaved(shard_runs(own)), "interleaved")
+    scanned = cut(sharing(shard_runs(own)), "sharing")
     found, left_over = scanned.where(is_settled), scanned.where(~is_settled)
-    sizes = left_over.groupBy("h").count()
-    crowded = cut(sizes.where(F.col("count") > HELD_RUNS).select("h"), "crowded")
+    crowded = cut(left_over.groupBy("h").count().where(F.col("count") > HELD_RUNS).select("h"), "crowded")
     contexts = fetched(own, left_over)
-    found = found.unionByName(merged(contexts.join(crowded, "h", "left_anti")))
-    if crowded.head(1):
-        found = found.unionByName(interleaved(single_strings(contexts.join(crowded, "h", "left_semi"))).where(is_settled))
+    if not crowded.head(1):
+        found = found.unionByName(merged(contexts, ["h"]))
+    else:
+        found = found.unionByName(merged(contexts.join(crowded, "h", "left_anti"), ["h"]))
+        found = found.unionByName(merged(single_strings(contexts.join(crowded, "h", "left_semi")), ["h", "c"]))
     lists = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(F.shiftright("at", 8).alias("start"), F.col("c").alias("count"))).alias("_sd_list"))
     return cut(lists, "repeated")
 
@@ -361,7 +424,7 @@ def without(data: bytes, starts: list) -> tuple[int, int, bytes]:
 def deduplicated(docs: DataFrame, lists: DataFrame | None = None, digest_only: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with the other columns and `kept` (binary) unless digest_only."""
     lists = repeated(docs) if lists is None else lists
-    own = docs.select("doc_id", "text") if digest_only else docs
+    own = docs.select("doc_id", "text") if digest_only else aside(docs, MADE)
     made = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     @F.pandas_udf(made)
@@ -380,7 +443,7 @@ def deduplicated(docs: DataFrame, lists: DataFrame | None = None, digest_only: b
     joined = keyed.join(named, ["_sd_id", "_sd_mark"], "left")
     out = joined.withColumn("_sd_out", remove(F.col("text").cast("string"), F.col("_sd_list")))
     names = [x.split()[0] for x in made.split(", ")][: -1 if digest_only else None]
-    return out.select(*([] if not digest_only else ["doc_id"]), *([] if digest_only else [F.col(c) for c in docs.columns]), *[F.col("_sd_out")[c].alias(c if digest_only else f"_sd_{c}") for c in names])
+    return out.select(*([] if not digest_only else ["doc_id"]), *([] if digest_only else own_columns(own)), *[F.col("_sd_out")[c].alias(c if digest_only else f"_sd_{c}") for c in names])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -394,4 +457,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     changed = out.withColumn("text", F.when(F.col("_sd_n_removed") > 0, decoded(F.col("_sd_kept"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("_sd_n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    return changed.drop(*MADE).toDF(*docs.columns)
