@@ -18,17 +18,17 @@ SHINGLE, PERCENT = 5, 80
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier predicts to be good; the labels are those of the documents still there."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_classifier.score(docs, labels, keep_text=True).where("predicted = 1").select(*docs.columns)
+    return quality_classifier.good(docs, labels)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    return exact_dedup.dedup(docs).select(*docs.columns)
+    return exact_dedup.dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return jaccard_join.dedup(docs, SHINGLE, PERCENT).select(*docs.columns)
+    return jaccard_join.dedup(docs, SHINGLE, PERCENT)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
