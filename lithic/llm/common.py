@@ -67,6 +67,19 @@ def aside(docs: DataFrame, made) -> DataFrame:
     return docs.toDF(*names) if names != docs.columns else docs
 
 
+#: A key with more than one row in so many is large: there are at most so many large keys, few enough to broadcast.
+HEAVY = 10_000
+
+
+def met(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows with the facts of their keys (one row a key, cut; `size` counts its rows, `total` all). The rows of large keys meet their facts where
+    they are, so that no key's rows are gathered; the others by a join."""
+    large = F.col(size) > max(1, total // HEAVY)
+    heavy, light = facts.where(large), facts.where(~large)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light.hint("merge"), keys))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -7,9 +7,9 @@ one number. Two documents get the same number on the same level only if their te
 Numbers are written before they are used, so that a task run again cannot number anew.
 
 Only distinct blocks and pairs are sorted, after partial aggregation; a block that a third of all documents share is one row
-there, and its copies meet it in a plain equi-join, whose large partitions Spark splits. Rows of a document count once there, so copies of
-one row do not. Groups of more than one row in HEAVY meet their rows by a broadcast of at most HEAVY groups, the others by a join. No group
-is collected, and no join whose sides grow with the input is broadcast.
+there, and its copies meet it in a plain equi-join, whose large partitions Spark splits. Large groups meet
+their rows by a broadcast of bounded size (`common.met`), the others by a join. No group is collected, and no join whose sides grow with the
+input is broadcast.
 
 Cases: null text counts as empty, and all empty texts are one group; ties in length go to the smallest doc_id (null first), rows
 alike in every respect keep one of them; an empty table gives no row; other columns pass through, whatever their names.
@@ -22,12 +22,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, cut, text_or_empty
+from .common import aside, cut, met, text_or_empty
 
 #: Code points in a block.
 BLOCK = 2048
-#: A group with more than one row in so many is large: there are at most so many large groups.
-HEAVY = 10_000
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
@@ -89,10 +87,7 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     # Rows without a name are alone and need no join; as null keys they would all meet in one task.
     alone = known.where("_xd_name is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *digest)
     named_ = known.where("_xd_name is not null")
-    most = max(1, known.count() // HEAVY)
-    heavy, light = kept.where(F.col("_xd_group") > most), kept.where(F.col("_xd_group") <= most)
-    rest = named_.join(F.broadcast(heavy.select(*name)), name, "left_anti")
-    grouped = named_.join(F.broadcast(heavy), name).unionByName(rest.join(light.hint("merge"), name))
+    grouped = met(named_, kept, name, "_xd_group", known.count())
     return alone.unionAll(grouped.select("doc_id", F.col("_xd_first.doc_id").alias("keep_id"), F.col("_xd_group").alias("group_size"), (F.col("_xd_first.n") == F.col("_xd_n")).alias("kept"), *digest))
 
 

@@ -3,16 +3,18 @@
 A document's tokens are the hashes of its word shingles. They are dealt into GROUPS groups; the counts of the groups are its
 point. For two documents the sum over groups of the smaller count bounds their overlap from above, and so does, for a
 box of an R-tree, the sum of the smaller of a count and the box's largest; a box or point whose bound cannot reach the overlap
-that the threshold asks for is pruned, and pairs that survive are verified on the whole sets.
+that the threshold asks for is pruned, and pairs that survive are verified on the whole sets. Every link comes from such a search.
 
-The join is made in parallel without loss by a fact about sets: two sets at Jaccard t or more share a token among the first
-|x| - ceil(t|x|) + 1 of each, in any fixed order of tokens. Each document goes to the buckets of these tokens; the order goes by
-the load of a token's bin in a fixed-size histogram, lightest first, so boilerplate makes few buckets. Equal sets are one point throughout.
+The points are indexed in parts, by a fact about sets: two sets at Jaccard t or more share a token among the first
+|x| - ceil(t|x|) + 1 of each, in any fixed order of tokens. Each point goes to the buckets of these tokens; the order goes by
+the load of a token's bin in a fixed-size histogram, lightest first, so boilerplate makes few buckets. A task's tree holds the points of many
+buckets: the bucket is a coordinate of its boxes, like the size of a set. Equal sets are one point throughout.
 
-Links are transitive in the result, so not every pair is needed, only enough verified ones. Round one pairs each bucket's members
-with the bucket's two best-supported ones. Round two takes the buckets that still hold several components and joins their points
-by R-tree, in blocks of bounded size, only across components. No link between different texts is lost, no bucket is ever
-collected whole, and no pairs are made inside what is already connected.
+Links are transitive in the result, so not every pair is needed, only enough verified ones. Round one searches each bucket in blocks of
+NEAR points with the bucket's first document beside them, and keeps for each point that document and the one with the best bound. Round
+two takes the buckets that still hold several components and searches them across components: each point is stored once, in one block
+of BLOCK points, and those outside the bucket's largest component are sought in all its blocks. No link between different texts is
+lost, no bucket is ever collected whole, and no pairs are made inside what is already connected.
 
 Cases: null text, or one without words, has an empty set, links with nothing and is its own component; fewer words than a shingle
 are one shingle; a row without doc_id links with nothing and has no component; rows alike are one point; an empty table gives no
@@ -26,48 +28,72 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, cut, held
+from . import parts
+from .common import byte_blocks, cut, met, own_columns
 from .graph import components
-from .tokens import Cache
 
 #: Dimensions of a point; the largest count kept, beyond which a point is not pruned.
-GROUPS, FULL = 256, 65535
+GROUPS, FULL = 128, 255
 #: Bins of the histogram of tokens (a power of two), the shift that gives a token's bin, and the pieces it is added up in.
 BINS, SHIFT, PIECES = 1 << 20, 44, 32
-#: Points of a leaf and children of a node of the R-tree; documents of a block.
-FAN, BLOCK = 16, 1024
-#: Needed documents up to which their ids (some 40 bytes each) are broadcast rather than shuffled with the texts.
-FEW_IDS = 500_000
+#: Points of a leaf and children of a node of the R-tree; points of a block in the first round and in the second.
+FAN, NEAR, BLOCK = 16, 128, 1024
+#: Rows that are indexed together; pairs of points compared at once.
+TOGETHER, PAIRS = 20_000, 50_000
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text."""
+def mixed(x):
+    import numpy as np
 
-    def __init__(self, size: int):
-        self.size = size
-        self.words = Cache(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 200_000)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __call__(self, text: str | None):
-        import numpy as np
 
-        words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint64)
-        each = np.fromiter(map(self.words.__getitem__, words), np.uint64, n)
-        size = min(self.size, n)
-        with np.errstate(over="ignore"):
-            out = np.full(n - size + 1, size, np.uint64)
-            for k in range(size):
-                out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + each[k : k + len(out)]
-            out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(out ^ (out >> np.uint64(32)))
+def word_hashes(words):
+    """64-bit hashes of words (Arrow, binary): each byte and its place in the word are hashed, and the sums again."""
+    import numpy as np
+
+    raw, at = parts.buffered(words)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(raw)) - np.repeat(at[:-1], np.diff(at))
+    each = mixed((place.astype(np.uint64) << np.uint64(8) | raw) + np.uint64(0x9E3779B97F4A7C15))
+    return mixed(np.add.reduceat(each, at[:-1]))
 
 
-def shingler(size: int) -> Shingler:
-    return held(("shingles", size), lambda: Shingler(size))
+def shingles(column, size: int):
+    """Sorted distinct 64-bit shingle hashes of each text of an Arrow column, one text after the other, and each text's first (with the end
+    of the last)."""
+    import numpy as np
+
+    distinct, codes, bounds = parts.words(column, table=LOWER)
+    each = word_hashes(distinct)[codes]
+    n, ends = np.diff(bounds), bounds[1:]
+    out = np.full(len(each), size, np.uint64)
+    last = len(each) - size + 1
+    for k in range(size if last > 0 else 0):
+        head = out[:last]
+        out[:last] = (head ^ (head >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + each[k : k + last]
+    # A text with fewer words than a shingle has one, of all its words; the windows that would cross two texts go.
+    short = np.flatnonzero((n > 0) & (n < size))
+    for text in short:
+        one = np.uint64(n[text])
+        for word in each[bounds[text] : bounds[text + 1]]:
+            one = np.uint64(((int(one) ^ int(one) >> 31) * 0x9E3779B97F4A7C15 + int(word)) & 0xFFFFFFFFFFFFFFFF)
+        out[bounds[text]] = one
+    count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    of = np.repeat(np.arange(len(n)), count)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    found = mixed(out[bounds[of] + place])
+    at = np.insert(np.cumsum(count), 0, 0)
+    for a, b in zip(at.tolist(), at[1:].tolist()):
+        found[a:b].sort()
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
+    return found[new], np.searchsorted(of[new], np.arange(len(n) + 1))
 
 
 def identity(found) -> tuple[int, int]:
@@ -77,11 +103,13 @@ def identity(found) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def point(found) -> bytes:
+def points_of(found, at):
+    """Counts of the groups of each set, a row a set."""
     import numpy as np
 
-    counts = np.bincount((found % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-    return np.minimum(counts, FULL).astype("<u2").tobytes()
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    counts = np.bincount(of * GROUPS + (found % np.uint64(GROUPS)).astype(np.int64), minlength=(len(at) - 1) * GROUPS)
+    return np.minimum(counts, FULL).astype(np.uint8).reshape(-1, GROUPS)
 
 
 def needed(n_a, n_b, percent: int):
@@ -96,18 +124,17 @@ def survey(docs: DataFrame, shingle: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        of, bins = shingler(shingle), np.zeros(BINS, np.int64)
+        bins = np.zeros(BINS, np.int64)
         names = ["kind", "doc_id", "n", "s1", "s2", "point"]
         for batch in byte_blocks(batches):
-            sets = [of(x.as_py()) for x in batch["text"]]
-            if sets:
-                bins += np.bincount((np.concatenate(sets) >> np.uint64(SHIFT)).astype(np.int64), minlength=BINS)
-            ids = [identity(x) for x in sets]
-            n = len(sets)
-            yield pa.record_batch([pa.array([0] * n, pa.int32()), batch["doc_id"], pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array([point(x) for x in sets], pa.binary())], names=names)
-        parts = [x.astype(np.int32).tobytes() for x in np.split(bins, PIECES)]
+            found, at = shingles(batch["text"], shingle)
+            bins += np.bincount((found >> np.uint64(SHIFT)).astype(np.int64), minlength=BINS)
+            ids = [identity(found[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
+            n = batch.num_rows
+            yield pa.record_batch([pa.array([0] * n, pa.int32()), batch["doc_id"], pa.array(np.diff(at)), pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array([x.tobytes() for x in points_of(found, at)], pa.binary())], names=names)
+        loads = [x.astype(np.int32).tobytes() for x in np.split(bins, PIECES)]
         none = pa.nulls(PIECES, pa.int64())
-        yield pa.record_batch([pa.array([1] * PIECES, pa.int32()), pa.array(range(PIECES), pa.int64()), none, none, none, pa.array(parts, pa.binary())], names=names)
+        yield pa.record_batch([pa.array([1] * PIECES, pa.int32()), pa.array(range(PIECES), pa.int64()), none, none, none, pa.array(loads, pa.binary())], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "kind int, doc_id long, n long, s1 long, s2 long, point binary")
 
@@ -137,20 +164,20 @@ def bucketed(docs: DataFrame, shingle: int, percent: int, crowded: bytes) -> Dat
         import numpy as np
         import pyarrow as pa
 
-        of, level, sent = shingler(shingle), np.frombuffer(levels.value, np.uint8), set()
+        level, sent = np.frombuffer(levels.value, np.uint8), set()
         for batch in byte_blocks(batches):
             toks, rows = [], []
-            for text in batch["text"]:
-                found = of(text.as_py())
-                n = len(found)
-                if not n or (who := identity(found)) in sent:
+            found, at = shingles(batch["text"], shingle)
+            late = level[(found >> np.uint64(SHIFT)).astype(np.int64)]
+            for a, b in zip(at.tolist(), at[1:].tolist()):
+                n = b - a
+                if not n or (who := identity(found[a:b])) in sent:
                     continue
                 if len(sent) > 100_000:
                     sent.clear()
                 sent.add(who)
                 first = n + (-percent * n) // 100 + 1
-                late = level[(found >> np.uint64(SHIFT)).astype(np.int64)]
-                toks.append(found[np.argsort(late, kind="stable")[:first]])
+                toks.append(found[a:b][np.argsort(late[a:b], kind="stable")[:first]])
                 rows.append((n, who[0], first))
             if toks:
                 times = [r[2] for r in rows]
@@ -189,35 +216,6 @@ def shared(tokens: DataFrame) -> DataFrame:
     return tokens.repartition("tok").sortWithinPartitions("tok", "n", "s1").mapInArrow(run, "tok long, n long, s1 long")
 
 
-def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) whose points allow the overlap they need, as (a, b)."""
-
-    def run(batches):
-        for batch in batches:
-            a, b = (stacked(batch[k].to_pylist()) for k in ("point_a", "point_b"))
-            yield batch.filter(pa_bool(allowed(a, b, batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), percent))).select(["a", "b"])
-
-    side = lambda x: points.select(F.col("v").alias(x), F.col("point").alias(f"point_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
-
-
-def stacked(points):
-    import numpy as np
-
-    return np.frombuffer(b"".join(points), "<u2").reshape(-1, GROUPS)
-
-
-def allowed(a, b, n_a, n_b, percent: int):
-    """Which rows of points a and b may be links."""
-    import numpy as np
-
-    if not len(a):
-        return np.zeros(0, bool)
-    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-    full = (a.max(axis=1) == FULL) | (b.max(axis=1) == FULL)
-    return np.where(full, np.minimum(n_a, n_b), most) >= needed(n_a, n_b, percent)
-
-
 def pa_bool(mask):
     import pyarrow as pa
 
@@ -230,22 +228,21 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        of = shingler(shingle)
         for batch in byte_blocks(batches):
             vs, sets = [], []
-            for text, sought in zip(batch["text"], batch["sought"].to_pylist()):
-                found = of(text.as_py())
-                own = identity(found)
+            found, at = shingles(batch["text"], shingle)
+            for k, sought in enumerate(batch["sought"].to_pylist()):
+                mine = found[at[k] : at[k + 1]]
+                own = identity(mine)
                 for x in sought:
                     if (x["s1"], x["s2"]) == own:
                         vs.append(x["v"])
-                        sets.append(found.tobytes())
+                        sets.append(mine.tobytes())
             yield pa.record_batch([pa.array(vs, pa.int64()), pa.array(sets, pa.binary())], names=["v", "found"])
 
     sought = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("v", "s1", "s2")).alias("sought")), "sought")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    few = sought.count() <= FEW_IDS
-    return texts.join(F.broadcast(sought) if few else sought, "doc_id").mapInArrow(run, "v long, found binary").dropDuplicates(["v"])
+    return texts.join(sought, "doc_id").select("text", "sought").mapInArrow(run, "v long, found binary").dropDuplicates(["v"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -269,127 +266,115 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 class RTree:
-    """Static R-tree over count vectors: packed by size, then by position; a node holds the largest counts and smallest size."""
+    """Static R-tree over count vectors of many buckets: packed by bucket, then size, then position. A node's box has the range of its buckets
+    and sizes and the largest counts."""
 
-    def __init__(self, points, sizes):
+    def __init__(self, buckets, sizes, points):
         import numpy as np
 
-        self.np = np
-        leading = points[:, 0].astype(np.int64)
-        self.order = np.lexsort((points[:, 1], leading, sizes))
-        self.points, self.sizes = points[self.order].astype(np.int32), sizes[self.order]
-        self.levels = []
-        high, low, top = self.points, self.sizes, self.sizes
-        while len(high) > FAN:
-            at = np.arange(0, len(high), FAN)
-            high, low, top = np.maximum.reduceat(high, at), np.minimum.reduceat(low, at), np.maximum.reduceat(top, at)
-            self.levels.append((high, low, top))
-
-    def within(self, places, below: int):
-        """Children of nodes in the level below, which has `below` of them."""
-        out = (places[:, None] * FAN + self.np.arange(FAN)).ravel()
-        return out[out < below]
-
-    def search(self, q, n: int, percent: int):
-        """Places (in the caller's order) of points whose bound allows a link with q."""
-        np = self.np
-        if self.levels:
-            places = np.arange(len(self.levels[-1][0]))
-            for k in range(len(self.levels) - 1, -1, -1):
-                high, low, top = self.levels[k]
-                fit = (100 * np.minimum(n, top[places]) >= percent * np.maximum(n, low[places]))
-                places = places[fit]
-                places = places[np.minimum(high[places], q).sum(axis=1) >= needed(n, np.maximum(low[places], -(-percent * n // 100)), percent)]
-                places = self.within(places, len(self.levels[k - 1][0]) if k else len(self.points))
-        else:
-            places = np.arange(len(self.points))
-        sizes = self.sizes[places]
-        places = places[100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)]
-        bound = np.minimum(self.points[places], q).sum(axis=1)
-        return self.order[places[bound >= needed(n, self.sizes[places], percent)]]
-
-
-#: Rows that are joined together, and the size up to which a bucket is one leaf: its points are compared without a tree.
-TOGETHER, LEAF = 20_000, 2 * FAN
-
-
-def leaf_pairs(rows, ends, percent: int):
-    """Pairs in buckets that are one leaf each, all buckets at once. ends: first and past-the-last row of each."""
-    import numpy as np
-
-    v, n, root, points = rows
-    size = ends[:, 1] - ends[:, 0]
-    found = [np.zeros((0, 2), np.int64)]
-    for k in np.unique(size):
-        i, j = np.triu_indices(k, 1)
-        starts = ends[size == k, 0]
-        a, b = ((starts[:, None] + x).ravel() for x in (i, j))
-        ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-        a, b = a[ok], b[ok]
-        for at in range(0, len(a), 50_000):
-            x, y = a[at : at + 50_000], b[at : at + 50_000]
-            ok = allowed(points[x], points[y], n[x], n[y], percent)
-            found.append(np.column_stack([v[x[ok]], v[y[ok]]]))
-    return np.concatenate(found)
-
-
-def tree_join(rows, side, percent: int):
-    """Pairs across components in one bucket, or across two blocks of it, by an R-tree over the right side's points."""
-    import numpy as np
-
-    v, n, root, points = rows
-    left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)  # -1, 1: the two blocks; 0: one block with itself
-    found = [np.zeros((0, 2), np.int64)]
-    if not len(left) or not len(right):
-        return found[0]
-    tree, own_block = RTree(points[right], n[right]), side[0] == 0
-    full = np.flatnonzero(points[right].max(axis=1) == FULL)
-    for k in left:
-        q = points[k].astype(np.int32)
-        at = right[np.arange(len(right)) if q.max() == FULL else np.union1d(tree.search(q, n[k], percent), full)]
-        at = at[(root[at] != root[k]) & ((v[at] > v[k]) | (not own_block))]
-        found.append(np.column_stack([np.full(len(at), v[k]), v[at]]))
-    return np.concatenate(found)
+        self.order = np.lexsort((points[:, 0], sizes, buckets))
+        self.levels = [tuple(x[self.order] for x in (buckets, buckets, sizes, sizes, points))]
+        while len(self.levels[-1][0]) > FAN:
+            at = np.arange(0, len(self.levels[-1][0]), FAN)
+            ways = (np.minimum, np.maximum, np.minimum, np.maximum, np.maximum)
+            self.levels.append(tuple(f.reduceat(x, at) for f, x in zip(ways, self.levels[-1])))
 
+    def search(self, buckets, sizes, points, percent: int):
+        """(query, place in the caller's order, bound) of the points in the query's bucket whose bound allows a link."""
+        import numpy as np
 
-def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components inside each block pair of a bucket. rows: bucket, i, j, side, v, n, root, point."""
+        full = points.max(axis=1, initial=0) == FULL
+        top = len(self.levels[-1][0])
+        query, place = np.repeat(np.arange(len(sizes)), top), np.tile(np.arange(top), len(sizes))
+        for k in range(len(self.levels) - 1, -1, -1):
+            first, last, low, high, most = self.levels[k]
+            ok = (first[place] <= buckets[query]) & (buckets[query] <= last[place])
+            n = sizes[query]
+            ok &= (100 * np.minimum(n, high[place]) >= percent * np.maximum(n, low[place]))
+            query, place = query[ok], place[ok]
+            bound = np.empty(len(query), np.int64)
+            for at in range(0, len(query), PAIRS):
+                part = slice(at, at + PAIRS)
+                own, box = points[query[part]], most[place[part]]
+                saturated = full[query[part]] | (box.max(axis=1, initial=0) == FULL)
+                bound[part] = np.where(saturated, np.minimum(sizes[query[part]], high[place[part]]), np.minimum(own, box).sum(axis=1, dtype=np.int64))
+            least = np.maximum(low[place], -(-percent * sizes[query] // 100))  # a smaller set needs more than it has
+            ok = bound >= needed(sizes[query], least, percent)
+            query, place, bound = query[ok], place[ok], bound[ok]
+            if k:
+                below = len(self.levels[k - 1][0])
+                place = (place[:, None] * FAN + np.arange(FAN)).ravel()
+                query = np.repeat(query, FAN)
+                ok = place < below
+                query, place = query[ok], place[ok]
+        return query, self.order[place], bound
+
+
+#: What a row is in a block: stored; stored and sought; sought.
+STORED, BOTH, SOUGHT = 0, 1, 2
+ROWS = ["bucket", "block", "role", "v", "n", "root", "lead"]
+
+
+def tree_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs that the points of each block allow, across roots; nearest: of each sought point only the one with the best bound and the leader.
+    rows: bucket, block, role, v, n, root, lead, point. Of a block whose sought points are many, the stored ones alone are held."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names, held = ["bucket", "i", "j", "side", "v", "n", "root"], None
-
         def join(cols, points):
-            new = np.ones(len(cols[0]), bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)
-            first = np.flatnonzero(new)
-            ends = np.column_stack([first, np.append(first[1:], len(new))])
-            small = (ends[:, 1] - ends[:, 0] <= LEAF) & (cols[3][first] == 0)
-            values = (*cols[4:], points)
-            found = [leaf_pairs(values, ends[small], percent)]
-            found += [tree_join([x[a:b] for x in values], cols[3][a:b], percent) for a, b in ends[~small]]
-            both = np.concatenate(found)
-            both = np.unique(np.sort(both, axis=1), axis=0)
+            bucket, block, role, v, n, root, lead = cols
+            new = np.ones(len(bucket), bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])
+            group = np.cumsum(new)
+            stored, sought = np.flatnonzero(role != SOUGHT), np.flatnonzero(role != STORED)
+            if not len(stored) or not len(sought):
+                return None
+            tree, found = RTree(group[stored], n[stored], points[stored]), []
+            for at in range(0, len(sought), 256):
+                own = sought[at : at + 256]
+                query, place, bound = tree.search(group[own], n[own], points[own], percent)
+                q, s = own[query], stored[place]
+                ok = (root[q] != root[s]) & (v[q] != v[s])
+                q, s, bound = q[ok], s[ok], bound[ok]
+                if nearest:
+                    score = bound / (n[q] + n[s] - bound)
+                    order = np.lexsort((v[s], -score, q))
+                    best = np.ones(len(q), bool)
+                    best[1:] = q[order][1:] != q[order][:-1]
+                    kept = lead[s] == 1
+                    kept[order[best]] = True
+                    q, s = q[kept], s[kept]
+                found.append(np.column_stack([v[q], v[s]]))
+            both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
+        held = None
         for batch in batches:
-            cols, points = [batch[k].to_numpy() for k in names], stacked(batch["point"].to_pylist())
+            cols = [batch[k].to_numpy() for k in ROWS]
+            points = np.frombuffer(b"".join(batch["point"].to_pylist()), np.uint8).reshape(-1, GROUPS)
             if held is not None:
                 cols, points = [np.concatenate([h, c]) for h, c in zip(held[0], cols)], np.concatenate([held[1], points])
+            held = (cols, points)
             if len(points) < TOGETHER:
-                held = (cols, points)
                 continue
-            last = np.flatnonzero(np.any([c != c[-1] for c in cols[:3]], axis=0))
-            at = last[-1] + 1 if len(last) else 0  # the last bucket may go on; it has 2 * BLOCK rows at most
-            if at:
-                yield join([c[:at] for c in cols], points[:at])
-            held = ([c[at:] for c in cols], points[at:])
-        if held is not None and len(held[1]):
-            yield join(*held)
-
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side").mapInArrow(run, "a long, b long").distinct()
+            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            at = int(other[-1]) + 1 if len(other) else 0  # the last block may go on
+            if at and (out := join([c[:at] for c in cols], points[:at])) is not None:
+                yield out
+            cols, points = [c[at:] for c in cols], points[at:]
+            if len(points) >= TOGETHER and cols[2][-1] == SOUGHT:  # stored rows come first, so all of them are here
+                if (out := join(cols, points)) is not None:
+                    yield out
+                kept = cols[2] != SOUGHT
+                cols, points = [c[kept] for c in cols], points[kept]
+                cols[2] = np.full(len(points), STORED, cols[2].dtype)
+            held = (cols, points)
+        if held is not None and (out := join(*held)) is not None:
+            yield out
+
+    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role").select(*ROWS, "point").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -400,35 +385,40 @@ def links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataF
     vertices = own.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"))
     vertices = cut(vertices.withColumn("v", F.monotonically_increasing_id()), "vertices")
     members = shared(bucketed(docs.where("doc_id is not null"), shingle, percent, crowded))
-    members = cut(members.join(vertices.select("s1", "n", "v"), ["s1", "n"]).select("tok", "v", "n"), "members")
+    members = cut(members.join(vertices.select("s1", "n", "v", "doc_id"), ["s1", "n"]).select(F.col("tok").alias("bucket"), "v", "n", "doc_id"), "members")
     points = vertices.select("v", "point")
     identities = vertices.select("v", "doc_id", "s1", "s2")
+    total = members.count()
 
     def check(near: DataFrame) -> DataFrame:
         wanted = cut(identities.join(near.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v", "left_semi"), "wanted")
         return verified(near, sets_of(docs, wanted, shingle), percent)
 
-    # Round one: each member with the bucket's best-supported member (whose tokens meet most others) and the first one.
-    support = members.join(members.groupBy("tok").count(), "tok").groupBy("v").agg(F.sum("count").alias("support"))
+    def dealt(column: str, blocks: str):
+        return F.pmod(F.xxhash64(column), F.col(blocks)).cast("int")
+
+    # Round one: blocks of each bucket, with its first document in every one.
     one = F.struct("v", "n")
-    leaders = members.join(support, "v").groupBy("tok").agg(F.max_by(one, "support").alias("x"), F.min_by(one, "v").alias("y"))
-    stars = members.join(leaders, "tok").select("v", "n", F.explode(F.array("x", "y")).alias("leader"))
-    stars = stars.where((F.col("v") != F.col("leader.v")) & (100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n")))
-    low, high = F.least(one, F.col("leader")), F.greatest(one, F.col("leader"))
-    pairs = stars.select(low.alias("low"), high.alias("high")).select(F.col("low.v").alias("a"), F.col("high.v").alias("b"), F.col("low.n").alias("n_a"), F.col("high.n").alias("n_b")).distinct()
-    found = cut(check(cut(bounded(pairs, points, percent), "stars")), "links")
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min_by(one, F.struct("doc_id", "v")).alias("first"))
+    buckets = cut(buckets.where("size > 1").withColumn("blocks", F.ceil(F.col("size") / NEAR).cast("int")), "buckets")
+    mine = met(members.select("bucket", "v", "n"), buckets, ["bucket"], "size", total)
+    near = mine.select("bucket", dealt("v", "blocks").alias("block"), F.lit(BOTH).alias("role"), "v", "n", F.col("v").alias("root"), (F.col("v") == F.col("first.v")).cast("int").alias("lead"))
+    leaders = buckets.where("blocks > 1").select("bucket", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "blocks", F.col("first.v").alias("v"), F.col("first.n").alias("n"))
+    leaders = leaders.where(F.col("block") != dealt("v", "blocks")).select("bucket", "block", F.lit(STORED).alias("role"), "v", "n", F.col("v").alias("root"), F.lit(1).alias("lead"))
+    found = cut(check(cut(tree_pairs(near.unionByName(leaders).join(points, "v"), percent, True), "near")), "links")
     roots = cut(components(found), "roots")
     # Round two: buckets that still hold several components, one of each kind of membership.
-    placed = cut(members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), "placed")
-    mark = [F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("mark"), F.min("root").alias("low"), F.max("root").alias("high")]
-    mixed = placed.groupBy("tok").agg(*mark).where("low <> high").groupBy("size", "mark").agg(F.min("tok").alias("tok"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = placed.join(mixed.select("tok", blocks.alias("blocks")), "tok").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        F.col("tok").alias("bucket"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.signum(F.col("block") - F.col("other")).cast("int").alias("side"), "v", "n", "root"
-    )
-    crossing = tree_pairs(rows.join(points, "v"), percent)
-    more = cut(check(cut(crossing, "crossing")), "links")
+    placed = cut(members.select("bucket", "v", "n").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), "placed")
+    by_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("mark"))
+    facts = [F.sum("size").alias("size"), F.sum("mark").alias("mark"), F.max_by("root", F.struct("size", "root")).alias("major"), F.count(F.lit(1)).alias("roots")]
+    several = by_root.groupBy("bucket").agg(*facts).where("roots > 1").groupBy("size", "mark").agg(F.min(F.struct("bucket", "major")).alias("x"))
+    several = cut(several.select("x.bucket", "x.major", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "several")
+    mine = met(placed, several, ["bucket"], "size", total).withColumn("own", dealt("v", "blocks"))
+    outside = F.col("root") != F.col("major")
+    stored = mine.select("bucket", F.col("own").alias("block"), F.when(outside, BOTH).otherwise(STORED).alias("role"), "v", "n", "root", F.lit(0).alias("lead"))
+    sought = mine.where(outside & (F.col("blocks") > 1)).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    sought = sought.where("block <> own").select("bucket", "block", F.lit(SOUGHT).alias("role"), "v", "n", "root", F.lit(0).alias("lead"))
+    more = cut(check(cut(tree_pairs(stored.unionByName(sought).join(points, "v"), percent, False), "crossing")), "links")
     if more.head(1):  # later links join components, so only the roots that they touch are looked at again
         root = lambda x: roots.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}"))
         lifted = more.join(root("a"), "a", "left").join(root("b"), "b", "left")
@@ -462,4 +452,4 @@ def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
         keyed = cut(placed.orderBy(*order).withColumn(key, F.monotonically_increasing_id()).drop("_jj_at"), "keyed")
     named = keyed.select(F.col(key).alias("doc_id"), "text")
     gone = near_duplicates(named, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return keyed.join(gone, keyed[key] == gone["_gone"], "left_anti").select(*docs.columns)
+    return keyed.join(gone, keyed[key] == gone["_gone"], "left_anti").select(*own_columns(docs))

@@ -21,25 +21,6 @@ CACHE_WORDS, CACHE_CHARS = 150_000, 40
 #: Fixed by the vocabulary: how a token ends that ends a word.
 WORD_END = "</w>"
 
-class Cache(dict):
-    """Finds what it lacks by `make`; keeps what was used lately in two generations of bounded size."""
-
-    def __init__(self, make, limit: int = CACHE_WORDS):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
-            self[key] = found
-        return found
-
-
 class Known(dict):
     """Values of the keys of a block of texts, made together for those that are new; two generations, the elder goes when the younger is full."""
 
