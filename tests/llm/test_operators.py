@@ -34,11 +34,15 @@ def rows():
     return table()
 
 
+#: Names that operators give to results or use themselves.
+CLASHING = ["score", "SHARD", "kept", "size", "v", "mark", "license", "dice", "n_matches", "posterior", "_counts", "_votes", "base_failed", "predicted", "held_out", "law", "slot", "grown_shard", "score_input", "a.b", "_sd_id", "_hs_at"]
+
+
 @pytest.fixture(scope="module")
 def docs(spark, rows):
     """Extra columns have names that operators use themselves."""
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    return frame.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "score": F.lit(9), "shard": F.lit("q"), "kept": F.lit(1), "size": F.lit(2), "v": F.lit(3), "mark": F.lit(4)})
+    return frame.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), **{c: F.lit(k) for k, c in enumerate(CLASHING)}})
 
 
 @pytest.fixture(scope="module")
@@ -298,14 +302,40 @@ def test_tree_finds_all_that_may_link():
     import numpy as np
 
     pick = np.random.default_rng(1)
-    points = pick.poisson(2, (700, jaccard_join.GROUPS)).astype(np.uint16)
+    points = pick.poisson(3, (700, jaccard_join.GROUPS)).astype(np.uint8)
     points[300:600] = points[:300] + (pick.random((300, jaccard_join.GROUPS)) < 0.1)
-    sizes = points.sum(axis=1).astype(np.int64)
-    tree = jaccard_join.RTree(points, sizes)
-    for q in range(0, 700, 7):
-        bound = np.minimum(points, points[q]).sum(axis=1)
-        expected = np.flatnonzero((bound >= jaccard_join.needed(sizes[q], sizes, 85)) & (100 * np.minimum(sizes, sizes[q]) >= 85 * np.maximum(sizes, sizes[q])))
-        assert set(expected) == set(tree.search(points[q].astype(np.int32), sizes[q], 85))
+    sizes, buckets = points.sum(axis=1).astype(np.int64), pick.integers(0, 3, 700)
+    buckets[300:600] = buckets[:300]
+    tree, q = jaccard_join.RTree(buckets, sizes, points), np.arange(0, 700, 7)
+    query, place, bound = tree.search(buckets[q], sizes[q], points[q], 85)
+    for k in range(len(q)):
+        most = np.minimum(points, points[q[k]]).sum(axis=1, dtype=np.int64)
+        n = sizes[q[k]]
+        ok = (buckets == buckets[q[k]]) & (most >= jaccard_join.needed(n, sizes, 85)) & (100 * np.minimum(sizes, n) >= 85 * np.maximum(sizes, n))
+        assert dict(zip(place[query == k], bound[query == k])) == dict(zip(np.flatnonzero(ok), most[ok]))
+
+
+def test_every_link_comes_from_the_tree(docs, rows, monkeypatch):
+    """A tree that finds nothing leaves every set alone: no other path makes links."""
+    import numpy as np
+
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(jaccard_join, "tree_pairs", lambda rows_, percent, nearest: rows_.selectExpr("v as a", "v as b").where("false"))
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs, 4, 85).collect()}
+    words = {i: tuple((t or "").lower().split()) for i, t in rows}
+    assert len(none) == 0 and all(got[i] == min([j for j in words if words[i] and set(zip(*[words[j][k:] for k in range(4)])) == set(zip(*[words[i][k:] for k in range(4)])) and (len(words[i]) >= 4 or words[j] == words[i])] or [i]) for i in words)
+
+
+def test_blocks_of_a_large_bucket(spark, monkeypatch):
+    """Buckets of many points are parted, and no link is lost between the parts."""
+    monkeypatch.setattr(jaccard_join, "NEAR", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "TOGETHER", 16)
+    pick = random.Random(8)
+    base = [prose(60).split() for _ in range(3)]
+    table_ = [(i, " ".join(w if pick.random() > 0.01 else prose(1) for w in base[i % 3])) for i in range(90)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(table_, "doc_id long, text string"), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(table_, 4, 85)
 
 
 def brute_repeats(rows):
@@ -322,6 +352,25 @@ def brute_repeats(rows):
     return out
 
 
+def test_merged_blocks_are_the_repeated_intervals():
+    """Blocks of the merged transforms against groups of equal prefixes, over shards of strings with zero bytes and copies."""
+    pick = random.Random(4)
+    for case in range(40):
+        depth, copied = pick.choice([1, 3, 8]), bytes(pick.choice(b"\0ab\xff") for _ in range(12))
+        shards = [[bytes(pick.choice(b"\0ab\xff") for _ in range(pick.randint(0, 20))) + pick.choice([b"", copied]) for _ in range(pick.randint(0, 5))] for _ in range(3)]
+        groups: dict = {}
+        for k, strings in enumerate(shards):
+            at = 0
+            for x in strings:
+                for i in range(len(x) - depth + 1):
+                    groups.setdefault(x[i : i + depth], set()).add((k, at + i))
+                at += len(x) + 1
+        found: dict = {}
+        for block, shard, place in zip(*(x.tolist() for x in substring_dedup.merged_blocks(shards, depth))):
+            found.setdefault(block, set()).add((shard, place))
+        assert sorted(map(sorted, found.values())) == sorted(sorted(x) for x in groups.values() if len(x) > 1)
+
+
 @pytest.mark.parametrize("held", [substring_dedup.HELD_RUNS, 1])
 def test_substring_dedup(docs, rows, held, monkeypatch):
     """With one held run, every anchor with several contexts goes the way of the crowded ones."""
@@ -358,13 +407,16 @@ def test_substring_dedup_rows_read_twice(spark, rows, held, monkeypatch):
 
 
 def test_sharding(spark, docs, rows, empty):
-    got = sharding.shard(docs.drop("shard", "size")).collect()
-    assert len(got) == len(rows)
+    got = sharding.shard(docs).withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
     for shard in range(8):
-        slots = sorted(r.slot for r in got if r.shard == shard)
-        assert slots == list(range(len(slots)))
+        own = sorted((r for r in got if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(len(own)))
+        assert [(r.key, r.doc_id) for r in own] == sorted((r.key, r.doc_id) for r in own)
+    assert max((r.key, r.doc_id) for r in got if r.shard == 0) < min((r.key, r.doc_id) for r in got if r.shard == 7)
     assert all(r.size == len((dict(rows)[r.doc_id] or "").encode()) + 1 and r.law == "bytes" and r.grown_shard is None for r in got)
-    assert sharding.shard(empty.drop("shard", "size")).count() == 0
+    assert all(r.size_input == CLASHING.index("size") and r.SHARD_input == CLASHING.index("SHARD") for r in got)
+    assert sharding.shard(empty).count() == 0
 
 
 def test_sharding_balances_and_keeps_groups(spark):
@@ -460,16 +512,44 @@ def brute_counts(text):
 def test_quality_rules(docs, rows, empty):
     for i, text in rows:
         assert text_stats.counts_of(text)[:5] == brute_counts(text), i
-    got = {r.doc_id: r for r in quality_rules.judge(docs.drop("kept")).collect()}
+    judged = quality_rules.judge(docs).collect()
+    got, votes = {r.doc_id: r for r in judged}, {r.doc_id: r._votes for r in judged}
+    expected = brute_em(votes)
     for i, text in rows:
         n, _, _, _, repeated = brute_counts(text)
-        assert got[i].base_failed == (n < 20 or 100 * repeated > 30 * n) and (not got[i].base_failed or not got[i].kept)
-    assert quality_rules.judge(empty.drop("kept")).count() == 0
+        assert got[i].base_failed == (n < 20 or 100 * repeated > 30 * n)
+        assert abs(got[i].posterior - expected[i]) < 1e-6 and got[i].kept == (not got[i].base_failed and got[i].posterior >= 0.5)
+        assert got[i].kept_input == CLASHING.index("kept") and got[i].posterior_input == CLASHING.index("posterior")
+    assert quality_rules.judge(empty).count() == 0
+
+
+def brute_em(votes):
+    """Posteriors by expectation-maximisation over documents, with arrays of votes."""
+    import numpy as np
+
+    v = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in x] for x in votes.values()])
+    plus, minus = (v == 1).astype(float), (v == -1).astype(float)
+    good = (plus.sum(1) + 1) / (plus.sum(1) + minus.sum(1) + 2)
+    for _ in range(500):
+        share = (good.sum() + 1) / (len(good) + 2)
+        among_good = (good @ plus + 8) / (good @ plus + good @ minus + 10)
+        among_bad = ((1 - good) @ minus + 8) / ((1 - good) @ plus + (1 - good) @ minus + 10)
+        odds = np.log(share / (1 - share)) + plus @ np.log(among_good / (1 - among_bad)) + minus @ np.log((1 - among_good) / among_bad)
+        before, good = good, 1 / (1 + np.exp(-odds))
+        if abs(good - before).max() < 1e-9:
+            break
+    return dict(zip(votes, good))
 
 
 def test_em_tells_bad_patterns():
-    found = quality_rules.posteriors({"+++++++++": 900, "+++0++++0": 80, "-+++++-++": 40, "++-+-+-++": 30, "-+-++++++": 25, "+++++++-+": 3})
-    assert found["+++++++++"] > 0.9 and found["+++0++++0"] > 0.9 and found["-+++++-++"] < 0.5 and found["++-+-+-++"] < 0.5 and quality_rules.posteriors({}) == {}
+    found = quality_rules.posteriors({"+++++++++": 900, "+++0++++0": 80, "--+-++-++": 60, "+--+-+-++": 50, "-+--++-++": 45, "+++++++-+": 3})
+    assert found["+++++++++"] > 0.9 and found["+++0++++0"] > 0.9 and found["--+-++-++"] < 0.5 and found["+--+-+-++"] < 0.5 and quality_rules.posteriors({}) == {}
+
+
+def test_em_is_not_all_must_pass():
+    """A bad vote of a rule that is often wrong does not drop, and the absence of bad votes does not keep."""
+    found = quality_rules.posteriors({"++++0": 600, "++++-": 200, "----+": 200, "0000+": 20})
+    assert found["++++-"] > 0.5 > found["0000+"] and found["++++0"] > 0.5 > found["----+"]
 
 
 def test_quality_classifier_held_out(spark):
@@ -479,8 +559,51 @@ def test_quality_classifier_held_out(spark):
     assert sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
 
 
+def test_quality_classifier_compiled(spark):
+    """The compiled column against the rules evaluated one by one."""
+    import math
+
+    pick = random.Random(6)
+    table_ = [(i, prose(pick.randint(5, 60)) + (" ### !!" * pick.randint(1, 20) if i % 3 == 0 else "") + "." * (i % 2)) for i in range(300)]
+    docs = spark.createDataFrame(table_, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300) if i % 5], "doc_id long, quality int, toxic int")
+    model = quality_classifier.learn(docs, labels)
+    assert model["rules"]
+    stats = docs.select("doc_id", text_stats.counts(F.col("text")).alias("s")).select("doc_id", *[c.alias(k) for k, c in quality_classifier.features(F.col("s")).items()]).collect()
+    got = {r.doc_id: r for r in quality_classifier.score(docs, labels).collect()}
+    for r in stats:
+        margin = model["intercept"]
+        for weight, path in model["rules"]:
+            if all((r[model["features"][j]] > at) == side for j, side, at in path):
+                margin += weight
+        assert abs(got[r.doc_id].score - 1 / (1 + math.exp(-margin))) < 1e-9 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
+
+
 def test_quality_classifier_cases(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
-    got = quality_classifier.score(docs.drop("score"), none).collect()
+    got = quality_classifier.score(docs, none).collect()
     assert all(abs(r.score - 0.5) < 1e-9 and r.predicted == 0 for r in got) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
-    assert quality_classifier.score(empty.drop("score"), none).count() == 0
+    assert all(r.score_input == CLASHING.index("score_input") and r.score_input_input == CLASHING.index("score") for r in got)
+    assert quality_classifier.score(empty, none).count() == 0
+    assert quality_classifier.good(docs, none).columns == docs.columns
+
+
+def test_nulls_and_repeated_rows(spark):
+    """Rows without doc_id and rows given twice: each comes back as often as it was given."""
+    given = [(None, BASE), (None, None), (1, BASE), (1, BASE), (2, None), (2, None), (3, prose(30)), (None, BASE)]
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1)], "doc_id long, quality int")
+    ids = sorted([i for i, _ in given], key=str)
+    of = lambda out: sorted([r.doc_id for r in out.collect()], key=str)
+    assert of(token_files.token_files(frame, WORD)) == of(byte_bpe.encode_documents(frame, BYTES, public_tokenizers.PATTERN)) == ids
+    assert of(sharding.shard(frame)) == of(license_scan.scan(frame)) == of(license_scan.scan_windows(frame)) == ids
+    assert of(quality_rules.judge(frame)) == of(quality_classifier.score(frame, labels)) == ids
+    assert not any(r.held_out for r in quality_classifier.score(frame, labels).where("doc_id is null").collect())
+    packed = packing.pack_documents(frame, WORD).collect()
+    assert sorted([r.doc_id for r in packed], key=str) == ids
+    assert {(r.doc_id, r.ids_crc32) for r in packed} == {(i, crc(encoded(t))) for i, t in given}
+    places = sorted((r.sequence_id, r.offset, r.length) for r in packed)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
+    near = {(r.doc_id, r.component_id) for r in jaccard_join.near_duplicates(frame).collect()}
+    assert near == {(None, None), (1, 1), (2, 2), (3, 3)}
+    assert of(substring_dedup.deduplicated(frame, digest_only=True)) == ids
