@@ -43,7 +43,7 @@ SHARD_RUNS = 400_000
 #: Runs with one anchor up to which one task refines them.
 HELD_RUNS = 50_000
 #: Bytes of contexts merged together, about, and the shards they are parted into.
-MERGED_BYTES, SHARDS = 3 << 19, 4
+MERGED_BYTES, SHARDS = 1 << 20, 4
 #: In `at`, start << 8 | number of starts; this number marks a settled stretch whose length is in `c`.
 SETTLED = 255
 
@@ -232,20 +232,24 @@ def transform(strings: list[bytes]):
     text[ends] = 0
     n = len(text)
     # Ranks by prefixes of doubling length; ends are told apart from the start, so that no prefix goes beyond one.
-    rank = text.astype(np.int64) + len(strings)
-    rank[ends] = np.arange(len(strings))
-    depth = 1
+    key = text.astype(np.int64) + len(strings)
+    key[ends] = np.arange(len(strings))
+    depth, most = 1, len(strings) + 258
     while True:
-        further = np.full(n, -1)
-        further[: n - depth] = rank[depth:]
-        key = rank * (n + len(strings) + 258) + further + 1
-        order = np.argsort(key, kind="stable")
+        further = np.zeros(n, np.int64)
+        within = max(0, n - depth)
+        further[:within] = key[n - within :] + 1
+        key = key * most + further
+        depth, most = 2 * depth, most * most
+        if most < 1 << 30:
+            continue  # two prefixes together still make one number
+        order = np.argsort(key)
         new = np.ones(n, np.int64)
         new[1:] = key[order][1:] != key[order][:-1]
-        rank[order] = np.cumsum(new) - 1
-        depth *= 2
         if new.all():
             break
+        key[order] = np.cumsum(new) - 1
+        most = n + 1
     symbols = text[order - 1]
     longer = np.empty(n, np.int32)
     longer[np.argsort(symbols, kind="stable")] = np.arange(n)
@@ -288,13 +292,17 @@ def merged(contexts: DataFrame, keys: list[str]) -> DataFrame:
 
     def flush(rows, np, pa):
         """Settled stretches of runs that are sorted by anchor, document and start."""
-        seen: dict[bytes, int] = {}
+        seen: set[bytes] = set()
         done, left = [], []
         for row in rows:
-            if seen.setdefault(row[5], len(left)) < len(left):
+            if row[5] in seen:
                 done.append(row)  # one interval with an earlier run
             else:
+                seen.add(row[5])
                 left.append(row)
+        # A context that is alone with its anchor by now has no other to share a string with.
+        keys = [row[:2] for row in left]
+        left = [row for k, row in enumerate(left) if keys[k - 1 : k] == [keys[k]] or keys[k + 1 : k + 2] == [keys[k]]]
         shards, owners = [[] for _ in range(SHARDS)], [[] for _ in range(SHARDS)]
         for row in left:
             shards[row[2] % SHARDS].append(row[5])
