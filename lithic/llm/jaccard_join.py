@@ -399,16 +399,19 @@ def links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataF
 
     # Round one: blocks of each bucket, with its first document in every one.
     one = F.struct("v", "n")
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min_by(one, F.struct("doc_id", "v")).alias("first"))
-    buckets = cut(buckets.where("size > 1").withColumn("blocks", F.ceil(F.col("size") / NEAR).cast("int")), "buckets")
-    mine = met(members.select("bucket", "v", "n"), buckets, ["bucket"], "size", total)
+    mark = F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("mark")
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), mark, F.min_by(one, F.struct("doc_id", "v")).alias("first")).where("size > 1")
+    # Of buckets with the same points one is enough.
+    buckets = buckets.groupBy("size", "mark").agg(F.min(F.struct("bucket", "first")).alias("x")).select("x.bucket", "x.first", "size")
+    buckets = cut(buckets.withColumn("blocks", F.ceil(F.col("size") / NEAR).cast("int")), "buckets")
+    mine = cut(met(members.select("bucket", "v", "n"), buckets, ["bucket"], "size", total), "met")
     near = mine.select("bucket", dealt("v", "blocks").alias("block"), F.lit(BOTH).alias("role"), "v", "n", F.col("v").alias("root"), (F.col("v") == F.col("first.v")).cast("int").alias("lead"))
     leaders = buckets.where("blocks > 1").select("bucket", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "blocks", F.col("first.v").alias("v"), F.col("first.n").alias("n"))
     leaders = leaders.where(F.col("block") != dealt("v", "blocks")).select("bucket", "block", F.lit(STORED).alias("role"), "v", "n", F.col("v").alias("root"), F.lit(1).alias("lead"))
     found = cut(check(cut(tree_pairs(near.unionByName(leaders).join(points, "v"), percent, True), "near")), "links")
     roots = cut(components(found), "roots")
     # Round two: buckets that still hold several components, one of each kind of membership.
-    placed = cut(members.select("bucket", "v", "n").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), "placed")
+    placed = cut(mine.select("bucket", "v", "n").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), "placed")
     by_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("mark"))
     facts = [F.sum("size").alias("size"), F.sum("mark").alias("mark"), F.max_by("root", F.struct("size", "root")).alias("major"), F.count(F.lit(1)).alias("roots")]
     several = by_root.groupBy("bucket").agg(*facts).where("roots > 1").groupBy("size", "mark").agg(F.min(F.struct("bucket", "major")).alias("x"))
