@@ -35,8 +35,10 @@ def normalised(text: Column) -> Column:
 
 
 def named(values: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """The distinct rows of `values`, sorted and numbered; written at once."""
-    ordered = values.select(*columns).distinct().repartitionByRange(*columns).sortWithinPartitions(*columns)
+    """The distinct rows of `values`, sorted and numbered; written at once. A hash comes first in their order, so that what is sampled to part
+    the range is numbers, not blocks."""
+    order = [F.xxhash64(*columns), *columns]
+    ordered = values.select(*columns).distinct().repartitionByRange(order[0]).sortWithinPartitions(*order)
     return cut(ordered.withColumn(name, F.monotonically_increasing_id()), "names")
 
 
