@@ -25,7 +25,7 @@ INT_TYPES = (
     "uintptr_t", "int8_t", "int16_t", "int32_t", "int64_t", "uint8_t", "uint16_t", "uint32_t", "uint64_t", "c_int", "c_uint", "c_short", "c_ushort", "c_long", "c_ulong",
     "c_longlong", "c_ulonglong", "c_size_t", "c_ssize_t", "integer", "integer*1", "integer*2", "integer*4", "integer*8",
 )
-#: Extension of a file name to the language of the file.
+#: Extension of a file name to the language of the file.
 EXTENSIONS = {
     "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "rs": "rust", "java": "java", "py": "python", "pyi": "python",
     "r": "r", "pl": "perl", "pm": "perl", "t": "perl", "f": "fortran", "for": "fortran", "f77": "fortran", "f90": "fortran", "f95": "fortran", "f03": "fortran", "f08": "fortran",

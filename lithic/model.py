@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
 
-#: The 17 metrics of a function in the order in which every comparison lists them.
+#: The 17 metrics of a function in the order in which every comparison lists them.
 METRICS = (
     "loc_code", "loc_comments", "branches", "loops", "max_loop_nesting", "max_if_nesting", "max_combined_nesting", "calls_unique",
     "calls_total", "cyclomatic", "cognitive", "halstead_volume", "halstead_difficulty", "early_returns", "goto_count", "inputs", "outputs",
 )
-#: The 10 metrics of a struct, likewise.
+#: The 10 metrics of a struct, likewise.
 STRUCT_METRICS = ("field_count", "int_count", "float_count", "bool_count", "char_count", "string_count", "pointer_count", "array_count", "collection_count", "other_count")
 
 LOCATION = "struct<file:string,line_start:int,line_end:int,col_start:int,col_end:int,byte_start:int,byte_end:int>"

@@ -143,6 +143,7 @@ def struct_metrics(fields: DataFrame, by=("idx",)) -> DataFrame:
 
 
 SORT_METRICS = ("cognitive", "max_combined_nesting", "calls_total", "loc_code", "halstead_difficulty")
+# The names of the sort keys.
 SORT_KEYS = {
     "cognitive": "cognitive", "cyclomatic": "cyclomatic", "combined-nesting": "max_combined_nesting", "combined_nesting": "max_combined_nesting", "nesting": "max_combined_nesting",
     "loc": "loc_code", "halstead-difficulty": "halstead_difficulty", "halstead_difficulty": "halstead_difficulty", "halstead": "halstead_difficulty",

@@ -74,9 +74,10 @@ def report(parsed: DataFrame) -> DataFrame:
     """One JSON document for all files: the language of the first file by path, unknown without files."""
     fs, ss = functions(parsed), structs(parsed)
     strip = lambda rows: rows.drop("report_id")
+    filled = lambda rows: rows.withColumn("attributes", F.when(F.size("attributes") > 0, F.col("attributes")))  # noqa: E731  # empty ones are left out
     language = parsed.agg(F.coalesce(F.min_by("language", "path"), F.lit("unknown")).alias("language"))
-    collected = lambda rows, name: strip(rows).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.struct(*[c for c in rows.columns if c not in ("idx", "report_id")]).alias("x")))), lambda y: y["x"]).alias(name))
-    joined = language.join(F.broadcast(collected(fs.drop("attributes"), "functions"))).join(F.broadcast(collected(ss.drop("attributes"), "structs")))  # one row each
+    collected = lambda rows, name: strip(rows).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.struct(*[c for c in rows.columns if c not in ("idx", "report_id")]).alias("x"))), lambda a, b: a["idx"] - b["idx"]), lambda y: y["x"]).alias(name))
+    joined = language.join(F.broadcast(collected(filled(fs), "functions"))).join(F.broadcast(collected(filled(ss), "structs")))  # one row each
     return joined.select(F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), "language", F.lit("").alias("source_file"), F.lit("").alias("source_hash"), "functions", "structs")).alias("value"))
 
 

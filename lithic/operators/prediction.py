@@ -10,16 +10,41 @@ from pyspark.sql import functions as F
 
 from ..model import METRICS
 
+# Features and targets in the order in which model files list them.
 FEATURES = (*METRICS, "arity", "outputs_count", "constants", "types_used", "loc_log")
 TARGETS = ("loc_code", "branches", "loops", "max_combined_nesting", "calls_unique", "calls_total", "cyclomatic", "cognitive", "halstead_volume", "halstead_difficulty", "early_returns")
 RIDGE = 1e-6
 
-# The rules a model starts with.
+# The rules a model starts with, as they stand in model files.
 RULES = [
-    {"name": "goto_to_early_return", "condition": {"goto_at_least": 1}, "adjustments": [{"metric": "early_returns", "delta": 1.0}, {"metric": "branches", "delta": -1.0}, {"metric": "cyclomatic", "delta": -1.0}]},
-    {"name": "switch_to_match", "condition": {"switch_cases_at_least": 5}, "adjustments": [{"metric": "cyclomatic", "delta": -1.0}]},
-    {"name": "pointer_heavy_signature", "condition": {"pointer_inputs_at_least": 3}, "adjustments": [{"metric": "loc_code", "delta": 1.0}]},
-    {"name": "inline_asm", "condition": {"has_asm": True}, "adjustments": []},
+    {
+        "name": "c_goto_to_rust_early_return",
+        "description": "C 'goto cleanup' pattern typically becomes '?' in Rust, adding early returns and removing some branches.",
+        "condition": {"GotoAtLeast": 1},
+        "adjustments": [
+            {"metric": "early_returns", "delta": 1.0, "factor": 1.0},
+            {"metric": "branches", "delta": -1.0, "factor": 1.0},
+            {"metric": "cyclomatic", "delta": -1.0, "factor": 1.0},
+        ],
+    },
+    {
+        "name": "c_switch_to_rust_match",
+        "description": "Switch with many arms: Rust `match` typically drops a default or cyclomatic by 1.",
+        "condition": {"SwitchCasesAtLeast": 5},
+        "adjustments": [{"metric": "cyclomatic", "delta": -1.0, "factor": 1.0}],
+    },
+    {
+        "name": "pointer_heavy_signature",
+        "description": "Heavy pointer I/O in C typically becomes borrows/slices in Rust; expect fewer unsafe blocks but similar branches.",
+        "condition": {"PointerInputsAtLeast": 3},
+        "adjustments": [{"metric": "loc_code", "delta": 1.0, "factor": 1.0}],
+    },
+    {
+        "name": "inline_asm_preserves",
+        "description": "Inline asm blocks generally survive translation wrapped in unsafe{}; LOC stable.",
+        "condition": "HasAsm",
+        "adjustments": [],
+    },
 ]
 
 
@@ -61,9 +86,16 @@ def linear(fit: dict, column) -> Column:
 
 
 def condition(rule: dict) -> Column:
-    (kind, n), = rule["condition"].items()
+    kind, n = (rule["condition"], 0) if isinstance(rule["condition"], str) else next(iter(rule["condition"].items()))
     pointers = lambda: F.size(F.filter("input_types", lambda t: t.rlike("[*&]")))
-    return {"goto_at_least": lambda: F.col("goto_count") >= n, "switch_cases_at_least": lambda: F.col("branches") >= n, "pointer_inputs_at_least": lambda: pointers() >= n, "has_asm": lambda: F.col("loc_asm") > 0, "always": lambda: F.lit(True)}[kind]()
+    # How model files spell the conditions.
+    return {
+        "GotoAtLeast": lambda: F.col("goto_count") >= n,
+        "SwitchCasesAtLeast": lambda: F.col("branches") >= n,
+        "PointerInputsAtLeast": lambda: pointers() >= n,
+        "HasAsm": lambda: F.col("loc_asm") > 0,
+        "Always": lambda: F.lit(True),
+    }[kind]()
 
 
 def adjusted(predicted: dict[str, Column], rules: list[dict]) -> dict[str, Column]:

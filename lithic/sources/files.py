@@ -11,13 +11,21 @@ from ..functions import scalar
 def scan(spark: SparkSession, path: str, language: str | None = None, recurse: bool = True, forced: bool = False) -> DataFrame:
     """path, language, content. With a language only files whose extension says exactly that (forced: all files, as that language).
 
-    The filter on the path comes before the content is read, so other files are listed but not opened.
+    The names are filtered while they are listed, so other files are not opened.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", recurse).load(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", recurse)
+    if not forced:
+        found = found.option("pathGlobFilter", name_pattern([x for x, of in scalar.EXTENSIONS.items() if language in (None, of)]))
+    found = found.load(path)
     rows = found.select("path", (F.lit(language) if forced and language else scalar.language_of(F.col("path"))).alias("language"), "content")
     return rows.where(F.col("language") == language) if language else rows.where(F.col("language") != "unknown")
 
 
+def name_pattern(extensions: list[str]) -> str:
+    """Glob of the file names with one of these extensions, in any case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in extensions or ["-"]) + "}"
+
+
 def decode(content: bytes) -> str:
     """UTF-8 text of the same byte length: each invalid byte is a question mark."""
     out, at = [], 0
