@@ -222,8 +222,9 @@ def pa_bool(mask):
     return pa.array(mask, pa.bool_())
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """v and its whole set (binary) for the wanted vertices (v, doc_id, s1, s2), from the texts of one document each."""
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, many: bool) -> DataFrame:
+    """v and its whole set (binary) for the wanted vertices (v, doc_id, s1, s2), from the texts of one document each. many: their number grows
+    with the input, so both sides are shuffled at every size; else Spark decides by their size."""
 
     def run(batches):
         import pyarrow as pa
@@ -242,7 +243,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     sought = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("v", "s1", "s2")).alias("sought")), "sought")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(sought, "doc_id").select("text", "sought").mapInArrow(run, "v long, found binary").dropDuplicates(["v"])
+    return texts.join(sought.hint("merge") if many else sought, "doc_id").select("text", "sought").mapInArrow(run, "v long, found binary").dropDuplicates(["v"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -390,9 +391,9 @@ def links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataF
     identities = vertices.select("v", "doc_id", "s1", "s2")
     total = members.count()
 
-    def check(near: DataFrame) -> DataFrame:
+    def check(near: DataFrame, many: bool) -> DataFrame:
         wanted = cut(identities.join(near.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v", "left_semi"), "wanted")
-        return verified(near, sets_of(docs, wanted, shingle), percent)
+        return verified(near, sets_of(docs, wanted, shingle, many), percent)
 
     def dealt(column: str, blocks: str):
         return F.pmod(F.xxhash64(column), F.col(blocks)).cast("int")
@@ -408,7 +409,7 @@ def links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataF
     near = mine.select("bucket", dealt("v", "blocks").alias("block"), F.lit(BOTH).alias("role"), "v", "n", F.col("v").alias("root"), (F.col("v") == F.col("first.v")).cast("int").alias("lead"))
     leaders = buckets.where("blocks > 1").select("bucket", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "blocks", F.col("first.v").alias("v"), F.col("first.n").alias("n"))
     leaders = leaders.where(F.col("block") != dealt("v", "blocks")).select("bucket", "block", F.lit(STORED).alias("role"), "v", "n", F.col("v").alias("root"), F.lit(1).alias("lead"))
-    found = cut(check(cut(tree_pairs(near.unionByName(leaders).join(points, "v"), percent, True), "near")), "links")
+    found = cut(check(cut(tree_pairs(near.unionByName(leaders).join(points, "v"), percent, True), "near"), True), "links")
     roots = cut(components(found), "roots")
     # Round two: buckets that still hold several components, one of each kind of membership.
     placed = cut(mine.select("bucket", "v", "n").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), "placed")
@@ -421,7 +422,7 @@ def links(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataF
     stored = mine.select("bucket", F.col("own").alias("block"), F.when(outside, BOTH).otherwise(STORED).alias("role"), "v", "n", "root", F.lit(0).alias("lead"))
     sought = mine.where(outside & (F.col("blocks") > 1)).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     sought = sought.where("block <> own").select("bucket", "block", F.lit(SOUGHT).alias("role"), "v", "n", "root", F.lit(0).alias("lead"))
-    more = cut(check(cut(tree_pairs(stored.unionByName(sought).join(points, "v"), percent, False), "crossing")), "links")
+    more = cut(check(cut(tree_pairs(stored.unionByName(sought).join(points, "v"), percent, False), "crossing"), False), "links")
     if more.head(1):  # later links join components, so only the roots that they touch are looked at again
         root = lambda x: roots.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}"))
         lifted = more.join(root("a"), "a", "left").join(root("b"), "b", "left")
