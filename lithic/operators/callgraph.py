@@ -126,16 +126,34 @@ def callers(graph: DataFrame, seeds: DataFrame, cut) -> DataFrame:
     return reachable(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds, cut)
 
 
+def trimmed(live: DataFrame, open_: DataFrame, cut) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges whose ends have both callers and callees, until none goes; the vertices that are left out, each a component of its
+    own (idx, colour), and those that stay."""
+    n = live.count()
+    while n:
+        ends = live.select(F.col("src").alias("idx")).intersect(live.select(F.col("dst").alias("idx")))
+        live = cut(live.join(ends, live["src"] == ends["idx"], "left_semi").join(ends, live["dst"] == ends["idx"], "left_semi"))
+        n, before = live.count(), n
+        if n == before:
+            break
+    stay = live.select(F.col("src").alias("idx")).distinct()
+    return live, cut(open_.join(stay, "idx", "left_anti").select("idx", F.col("idx").alias("colour"))), cut(open_.join(stay, "idx", "left_semi"))
+
+
 def scc_distributed(vertices: DataFrame, graph: DataFrame, cut) -> DataFrame:
     """idx, scc (smallest member) by mutual reachability with forward and backward labels; any number of vertices, no grouped task.
 
     Each round every vertex still open takes the largest vertex that reaches it as its colour; within a colour, what reaches the
-    colour's root is the root's component and is closed.
+    colour's root is the root's component and is closed. Vertices that lie on no cycle go before, by what calls or is called by nothing.
     """
     open_ = cut(vertices.select("idx"))
     live = cut(graph.where("src <> dst").distinct())
     closed = []
-    while open_.head(1):
+    while True:
+        live, alone, open_ = trimmed(live, open_, cut)
+        closed.append(alone)
+        if not open_.head(1):
+            break
         colour = cut(open_.select("idx", F.col("idx").alias("colour")))
         while True:
             pushed = live.join(colour, F.col("src") == F.col("idx")).groupBy("dst").agg(F.max("colour").alias("_c"))
@@ -156,7 +174,7 @@ def scc_distributed(vertices: DataFrame, graph: DataFrame, cut) -> DataFrame:
         closed.append(done)
         open_ = cut(open_.join(done, "idx", "left_anti"))
         live = cut(live.join(open_, live["src"] == open_["idx"], "left_semi").join(open_, live["dst"] == open_["idx"], "left_semi"))
-    members = reduce(DataFrame.unionAll, closed) if closed else vertices.select("idx", F.col("idx").alias("colour"))
+    members = reduce(DataFrame.unionAll, closed)
     return members.withColumn("scc", F.min("idx").over(Window.partitionBy("colour"))).select("idx", "scc")
 
 
@@ -220,8 +238,9 @@ def diff_summary(diff: DataFrame, left_edges: DataFrame, right_edges: DataFrame)
     return counts
 
 
+# Texts of warnings.
 NO_COUNTERPART = "no counterpart exists in the 1:1 pairing table"
-NOT_LEFT = "mapped counterpart is not upstream on the left side"
+NOT_LEFT = "mapped counterpart is not upstream on the Rust side"
 NOT_RIGHT = "mapped counterpart is not upstream on the original-code side"
 
 

@@ -63,6 +63,14 @@ def deviation(pairs: DataFrame, left: DataFrame, right: DataFrame, weights: dict
     return wide.select("pair_idx", "left_idx", "right_idx", "strategy", F.col("l_name").alias("left_name"), F.col("r_name").alias("right_name"), total(metrics, weights).alias("total"), contributions(metrics, weights).alias("per_metric"))
 
 
+def fallback_deviation(pairs: DataFrame, left: DataFrame, right: DataFrame, metrics=METRICS) -> DataFrame:
+    """Deviation without scales and weights, for a pair that no scaled result holds."""
+    keep = ["idx", *metrics]
+    wide = paired(pairs, left.select(*keep), right.select(*keep)).withColumns({f"s_{m}": F.lit(1.0) for m in metrics})
+    even = dict.fromkeys(metrics, 1.0)
+    return wide.select("pair_idx", "left_idx", "right_idx", total(metrics, even).alias("total"), contributions(metrics, even).alias("per_metric"))
+
+
 def ranked_by(rows: DataFrame, score: str, tie: str = "pair_idx", top: int | None = TOP) -> DataFrame:
     out = rows.orderBy(F.desc(score), F.asc(tie))
     return out.limit(top) if top else out
@@ -135,6 +143,21 @@ def constants_histogram(constants: DataFrame, by: str = "idx") -> DataFrame:
     return constants.groupBy(by).pivot("kind", list(CONSTANT_KINDS)).count().na.fill(0)
 
 
+def constants_by_kind(constants: DataFrame, by: str = "idx") -> DataFrame:
+    """by, kind, members: the texts of a function's constants of each kind, ordered."""
+    return constants.groupBy(by, "kind").agg(F.array_sort(F.collect_list("value")).alias("members"))
+
+
+def multiplicity(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, n: how often each key occurs."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def differing(diff: DataFrame) -> DataFrame:
+    """Rows of constants_diff with a constant on one side only; tables show no others."""
+    return diff.where((F.size("only_left") > 0) | (F.size("only_right") > 0))
+
+
 def struct_metrics(fields: DataFrame, by=("idx",)) -> DataFrame:
     """Field counts by category. fields: the keys and `type`."""
     category = fields.withColumn("_category", scalar.classify_type(F.col("type")))

@@ -126,12 +126,16 @@ def match_fingerprint(spark, d):
     return matching.match_fingerprint(L(spark, d), R(spark, d))
 
 
-ENTRIES = [{"left": f"new_{w}_{i}", "right": f"{v}_{w}_{i}", "right_path": f"{v}_{w}.{e}"} for i, v, w, e in ((2, "blue", "bolt", "pl"), (5, "small", "ring", "c"))]
+#: Each of ten names stands in eight entries: the k-th entry of a name takes the k-th row of either side.
+ENTRY_NAMES = ("hot rod", "red plate", "cold gear", "hot widget", "blue ring", "green bolt", "blue bolt", "small ring", "no such", "red gear")
+ENTRIES = [{"left": n, "right": n} for _ in range(8) for n in ENTRY_NAMES]
+ENTRY_SQL = ", ".join(f"({i}, '{e['left']}', {i // len(ENTRY_NAMES) + 1})" for i, e in enumerate(ENTRIES))
+by_plain_name = lambda rows: rows.drop("name").withColumnRenamed("plain_name", "name")
 
 
-@query()
+@query(f"{WITH}, e(entry_idx, k, n) AS (VALUES {ENTRY_SQL}), a AS (SELECT idx AS left_idx, plain_name AS k, row_number() OVER (PARTITION BY plain_name ORDER BY idx) AS n FROM l), b AS (SELECT idx AS right_idx, plain_name AS k, row_number() OVER (PARTITION BY plain_name ORDER BY idx) AS n FROM r) SELECT entry_idx, left_idx, right_idx FROM e JOIN a USING (k, n) JOIN b USING (k, n)")
 def match_mapping(spark, d):
-    return matching.match_mapping(L(spark, d), R(spark, d), ENTRIES)
+    return matching.match_mapping(by_plain_name(L(spark, d)), by_plain_name(R(spark, d)), ENTRIES)
 
 
 @query(f"{WITH}, {PAIRS} SELECT * FROM pairs")
@@ -141,7 +145,7 @@ def match_cascade(spark, d):
 
 @query()
 def match_all_stages(spark, d):
-    return matching.match(L(spark, d), R(spark, d), ENTRIES)
+    return matching.match(L(spark, d), R(spark, d), [{"left": f"new_{w}_{i}", "right": f"{v}_{w}_{i}", "right_path": f"{v}_{w}.{e}"} for i, v, w, e in ((2, "blue", "bolt", "pl"), (5, "small", "ring", "c"))])
 
 
 # --- comparison
@@ -213,12 +217,14 @@ def constants_histogram(spark, d):
     return out.select("pair_idx", *[F.col(k).alias(f"n_{k}") for k in comparing.CONSTANT_KINDS])
 
 
-# --- structs: a brand is a struct, its parts the fields; the right side has the larger ones only
+# --- structs: a brand is a struct, its parts the fields; on the right the small parts are a struct of their own, one brand has another name on the left
+LEFT_STRUCT = "CASE WHEN name = 'Brand#1' THEN 'First' ELSE name END"
+RIGHT_STRUCT = "CASE WHEN p_size <= 10 THEN name || '_small' ELSE name END"
 
 CATEGORY_SQL = f"CASE type {' '.join(f'''WHEN '{t}' THEN '{c}' ''' for t, c in KNOWN_TYPES.items())} END"
 STRUCTS = f"f AS (SELECT *, {CATEGORY_SQL} AS category FROM ({duck(standin.FIELDS)})), " + ", ".join(
-    f"{side} AS (SELECT row_number() OVER (ORDER BY name) AS idx, name, CAST(count(*) AS DOUBLE) AS field_count, {', '.join(f'''CAST(count(*) FILTER (category = '{c}') AS DOUBLE) AS {c}_count''' for c in comparing.CATEGORIES)} FROM f WHERE {where} GROUP BY name)"
-    for side, where in (("sl", "name <> 'Brand#1'"), ("sr", "p_size > 10 AND name <> 'Brand#2'"))
+    f"{side} AS (SELECT row_number() OVER (ORDER BY name) AS idx, name, CAST(count(*) AS DOUBLE) AS field_count, {', '.join(f'''CAST(count(*) FILTER (category = '{c}') AS DOUBLE) AS {c}_count''' for c in comparing.CATEGORIES)} FROM (SELECT * REPLACE ({name} AS name) FROM f) GROUP BY name)"
+    for side, name in (("sl", LEFT_STRUCT), ("sr", RIGHT_STRUCT))
 )
 
 
@@ -227,7 +233,7 @@ def struct_sides(spark, d):
 
     fields = frame(spark, d, standin.FIELDS)
     make = lambda rows: comparing.struct_metrics(rows, ("name",)).withColumn("idx", F.row_number().over(Window.orderBy("name")).cast("long"))  # noqa: E731  a few brands
-    return make(fields.where("name <> 'Brand#1'")), make(fields.where("p_size > 10 and name <> 'Brand#2'"))
+    return make(fields.withColumn("name", F.expr(LEFT_STRUCT))), make(fields.withColumn("name", F.expr(RIGHT_STRUCT)))
 
 
 @query(f"WITH {STRUCTS} SELECT name, {', '.join(f'CAST({m} AS BIGINT) AS {m}' for m in STRUCT_METRICS)} FROM sl")
@@ -279,7 +285,7 @@ GRAPH = f"WITH RECURSIVE g AS ({duck(standin.GRAPH_LEFT)}), h AS ({duck(standin.
 REACH = "reach(a, b) AS (SELECT src, dst FROM {0} UNION SELECT a, dst FROM reach JOIN {0} ON b = src)"
 graph_of = lambda spark, d, sql=standin.GRAPH_LEFT: frame(spark, d, sql)
 vertices_of = lambda spark, d: frame(spark, d, standin.VERTICES).withColumn("report_id", F.lit("r"))
-SEEDS = (3, 24, 100, 171)
+SEEDS = (1, 3, 24, 100, 171)
 
 
 @query(f"{GRAPH}, up(seed, idx) AS (SELECT dst, src FROM g WHERE dst IN {SEEDS} UNION SELECT seed, src FROM up JOIN g ON up.idx = dst) SELECT * FROM up")
@@ -297,12 +303,20 @@ def scc_kind(spark, d):
     return callgraph.bottom_up(vertices_of(spark, d), edges).select("idx", "scc_kind", "scc_size")
 
 
-@query(f"{SCC_SQL} SELECT v.p_partkey AS idx, coalesce(scc, v.p_partkey) AS scc FROM part v LEFT JOIN m ON v.p_partkey = m.idx")
+@query(f"{SCC_SQL.replace(duck(standin.GRAPH_LEFT), duck(standin.RINGS))} SELECT v.p_partkey AS idx, coalesce(scc, v.p_partkey) AS scc FROM part v LEFT JOIN m ON v.p_partkey = m.idx")
 def scc_distributed(spark, d):
-    return callgraph.scc_distributed(vertices_of(spark, d), graph_of(spark, d), cut)
+    return callgraph.scc_distributed(vertices_of(spark, d), graph_of(spark, d, standin.RINGS), cut)
 
 
-@query()
+# Each vertex calls one other, so a search from the smallest open vertex walks one path and completes it from its end; `o` is the vertex where the walk starts.
+ORDER_SQL = f"""{SCC_SQL}, vx AS ({duck(standin.VERTICES)}), own AS (SELECT idx, least(idx, coalesce(min(a), idx)) AS o FROM vx LEFT JOIN reach ON b = idx GROUP BY idx), held AS (SELECT o, count(*) AS size FROM own GROUP BY o),
+ walk(o, idx, k) AS (SELECT o, o, 0 FROM held UNION ALL SELECT walk.o, dst, k + 1 FROM walk JOIN g ON src = walk.idx JOIN held ON held.o = walk.o WHERE k + 1 < size),
+ placed AS (SELECT vx.*, o, coalesce(scc, vx.idx) AS scc, coalesce(n, 1) AS scc_size, CASE WHEN n > 1 THEN 'mutual' WHEN n = 1 THEN 'self' ELSE 'none' END AS scc_kind, min(k) OVER (PARTITION BY coalesce(scc, vx.idx)) AS root_k FROM vx JOIN walk USING (idx) LEFT JOIN m ON m.idx = vx.idx),
+ groups AS (SELECT scc, row_number() OVER (ORDER BY min(o), min(root_k) DESC) AS scc_id FROM placed WHERE scc_kind <> 'none' GROUP BY scc)
+ SELECT 'r' AS report_id, idx, row_number() OVER (ORDER BY o, root_k DESC, file, line_start, name, idx) - 1 AS pos, scc_id, scc_kind, scc_size FROM placed LEFT JOIN groups USING (scc)"""
+
+
+@query(ORDER_SQL)
 def order_bottom_up(spark, d):
     return callgraph.bottom_up(vertices_of(spark, d), graph_of(spark, d).withColumn("report_id", F.lit("r")))
 
@@ -312,12 +326,12 @@ def order_levels(spark, d):
     return callgraph.levels(cut(frame(spark, d, standin.FOREST)), vertices_of(spark, d), cut)
 
 
-# Both sides' graphs are over parts; a pair joins a part with itself, one part in four has none.
-GRAPH_PAIRS = "p AS (SELECT CAST(p_partkey AS BIGINT) AS x FROM part WHERE p_partkey % 4 <> 0), a AS (SELECT DISTINCT src, dst FROM g WHERE src IN (SELECT x FROM p) AND dst IN (SELECT x FROM p)), b AS (SELECT DISTINCT src, dst FROM h WHERE src IN (SELECT x FROM p) AND dst IN (SELECT x FROM p))"
+# Both sides' graphs are over parts; a pair joins the two sides' parts of one name, one part in four has none.
+GRAPH_PAIRS = f"p AS (SELECT a.idx AS x FROM ({duck(standin.OWN_NAMES)}) a JOIN ({duck(standin.BASE_NAMES)}) b USING (name)), a AS (SELECT DISTINCT src, dst FROM g WHERE src IN (SELECT x FROM p) AND dst IN (SELECT x FROM p)), b AS (SELECT DISTINCT src, dst FROM h WHERE src IN (SELECT x FROM p) AND dst IN (SELECT x FROM p))"
 
 
 def graph_sides(spark, d):
-    own = vertices_of(spark, d).where("idx % 4 <> 0").select(F.col("idx").alias("pair_idx"), F.col("idx").alias("left_idx"), F.col("idx").alias("right_idx"))
+    own = cut(matching.match_exact(frame(spark, d, standin.OWN_NAMES), frame(spark, d, standin.BASE_NAMES)).select(F.col("left_idx").alias("pair_idx"), "left_idx", "right_idx"))
     return own, callgraph.translated(graph_of(spark, d), own, "left"), callgraph.translated(graph_of(spark, d, standin.GRAPH_RIGHT), own, "right")
 
 
@@ -379,11 +393,11 @@ def upstream_warnings(spark, d):
 # --- order files
 
 
-@query(f"{WITH}, o AS ({duck(standin.PROGRESS)}), z AS (SELECT name, arg_max(translated, row_no) AS t FROM o GROUP BY name) SELECT idx, r.name, coalesce(z.t, 'FALSE') AS translated FROM r LEFT JOIN z USING (name)")
+@query(f"{WITH}, o AS ({duck(standin.PROGRESS)}), z AS (SELECT name, file, arg_max(translated, row_no) AS t FROM o GROUP BY ALL) SELECT idx, r.name, coalesce(z.t, 'FALSE') AS translated FROM r LEFT JOIN z USING (name, file)")
 def order_merge(spark, d):
     from ..sources import tables
 
-    return tables.merge_progress(R(spark, d), frame(spark, d, standin.PROGRESS).withColumn("file", F.lit(None).cast("string")), on=("name",)).select("idx", "name", "translated")
+    return tables.merge_progress(R(spark, d), frame(spark, d, standin.PROGRESS)).select("idx", "name", "translated")
 
 
 @query(f"{WITH}, {PAIRS}, z AS (SELECT b.name, b.file, b.line_start, arg_max(a.name, pair_idx) AS left_name, arg_max(strategy, pair_idx) AS match_strategy FROM pairs JOIN l a ON a.idx = left_idx JOIN r b ON b.idx = right_idx GROUP BY ALL) SELECT r.idx, r.name, coalesce(z.left_name, '') AS left_name, coalesce(z.match_strategy, '') AS match_strategy FROM r LEFT JOIN z ON r.name = z.name AND r.file = z.file AND r.line_start = z.line_start")
@@ -436,6 +450,118 @@ def predict_full(spark, d):
     return out.select("idx", "name", "matched_name", *[F.round(f"p_{t}", 3).alias(f"p_{t}") for t in prediction.TARGETS], *[F.round(f"z_{t}", 3).alias(f"z_{t}") for t in prediction.TARGETS])
 
 
+# --- rules and rankings one by one
+
+WANT_CLASS, WANT_LINE = "CASE idx % 4 WHEN 1 THEN '' WHEN 2 THEN 'Brand#1' WHEN 3 THEN 'Brand#' || (idx % 25 + 1) END", "CASE WHEN idx % 3 > 0 THEN CAST(idx % 40 + 1 AS INT) END"
+
+
+@query(f"{WITH}, w AS (SELECT *, {WANT_CLASS} AS wc, {WANT_LINE} AS wl FROM l) SELECT idx, CASE WHEN wc IS NULL THEN true WHEN wc = '' THEN enclosing_type IS NULL ELSE coalesce(enclosing_type = wc, false) END AS class_fits, wl IS NULL OR line_start = wl AS line_fits FROM w")
+def class_and_line(spark, d):
+    rows = L(spark, d)
+    return rows.select("idx", scalar.class_matches(F.col("enclosing_type"), F.expr(WANT_CLASS)).alias("class_fits"), scalar.line_matches(F.col("line_start"), F.expr(WANT_LINE)).alias("line_fits"))
+
+
+@query(f"WITH t AS ({duck(standin.FLOATS)}) SELECT id, CASE WHEN NOT regexp_matches(text, '^[+-]?0[xX]') THEN TRY_CAST(regexp_replace(text, '[fFLldD]+$', '') AS DOUBLE) END AS value FROM t")
+def parse_float(spark, d):
+    return frame(spark, d, standin.FLOATS).select("id", scalar.parse_float(F.col("text")).alias("value"))
+
+
+@query(f"WITH t AS ({duck(standin.RADIX)}) SELECT id, text, CAST(value AS BIGINT) AS value FROM t")
+def parse_int_radix(spark, d):
+    return frame(spark, d, standin.RADIX).select("id", "text", scalar.parse_int(F.col("text")).alias("value"))
+
+
+DISPLAY_KINDS = "CASE event_id % 6 WHEN 0 THEN 'int' WHEN 1 THEN 'int' WHEN 2 THEN 'float' WHEN 3 THEN 'string' WHEN 4 THEN 'char' ELSE 'bool' END"
+
+
+@query(f"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '0x' || event_id WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN event_id || '.0f' WHEN 3 THEN '"' || event_type || '"' WHEN 4 THEN chr(39) || event_type || chr(39) ELSE CASE WHEN event_id % 4 = 1 THEN 'true' ELSE 'false' END END AS display FROM events""")
+def constant_display(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    text = F.expr("CASE event_id % 6 WHEN 0 THEN '0x' || event_id WHEN 2 THEN event_id || '.0f' END")
+    c = F.struct(F.expr(DISPLAY_KINDS).alias("kind"), text.alias("text"), F.col("event_id").alias("int_value"), F.lit(None).cast("double").alias("float_value"), F.col("event_type").alias("str_value"), (F.col("event_id") % 4 == 1).alias("bool_value"))
+    return rows.select("event_id", scalar.constant_display(c).alias("display"))
+
+
+@query(f"{WITH} SELECT idx, concat_ws('::', enclosing_type, name) AS qualified, array_to_string(string_split(file, '/')[-2:], '/') AS tail FROM l")
+def qualified_name(spark, d):
+    return L(spark, d).select("idx", scalar.qualified_name(F.col("enclosing_type"), F.col("name")).alias("qualified"), scalar.file_tail(F.col("file")).alias("tail"))
+
+
+@query(f"{WITH}, x AS (SELECT file, CASE lower(regexp_extract(file, '\\.([^./]+)$', 1)) WHEN 'c' THEN 'C' WHEN 'rs' THEN 'Rust' WHEN 'java' THEN 'Java' WHEN 'py' THEN 'Python' WHEN 'r' THEN 'R' WHEN 'pl' THEN 'Perl' WHEN 'f90' THEN 'Fortran' ELSE 'Cpp' END AS language, count(*) AS n FROM r GROUP BY ALL) SELECT file, file || ': ' || language || ' ' || n || ' functions' AS line FROM x")
+def summary_lines(spark, d):
+    counted = R(spark, d).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("file", scalar.summary_line(F.col("file"), scalar.language_of(F.col("file")), F.col("n")).alias("line"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '…' ELSE text END AS shown FROM documents")
+def truncate_texts(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", scalar.truncate(F.col("text"), 60).alias("shown"))
+
+
+# Sides by number; the left ones are small, the right ones constructors, destructors and plain methods.
+EXEMPT_NAME = "CASE idx % 3 WHEN 0 THEN 'Box::Box' WHEN 1 THEN 'Box::~Box' ELSE 'Box::size' END"
+
+
+@query(f"""{WITH}, z AS (SELECT r.idx, {EXEMPT_NAME.replace('idx', 'r.idx')} AS right_name, r.idx % 4 AS x, r.loc_code AS y, r.idx % 2 = 0 AS mapped FROM r)
+ SELECT idx AS pair_idx, right_name, 'left LOC ' || x || ' is ' || CAST(round_even(100 * (greatest(x, 1) / greatest(y, 1)), 0) AS BIGINT) || '% of right LOC ' || CAST(y AS BIGINT) AS reason FROM z WHERE NOT (mapped AND x <= 1 AND right_name <> 'Box::size') AND greatest(x, 1) / greatest(y, 1) < 0.2""")
+def partial_exempt(spark, d):
+    right = R(spark, d).withColumn("name", F.expr(EXEMPT_NAME))
+    left = right.withColumn("loc_code", (F.col("idx") % 4).cast("double"))
+    pairs = right.select(F.col("idx").alias("pair_idx"), F.col("idx").alias("left_idx"), F.col("idx").alias("right_idx"), F.when(F.col("idx") % 2 == 0, "Mapping").otherwise("ExactName").alias("strategy"))
+    return comparing.partial(pairs, left, right).select("pair_idx", "right_name", "reason")
+
+
+SINGLE_KEYS = ("cognitive", "cyclomatic", "nesting", "loc", "halstead", "nesting-x-loc")
+
+
+@query(f"{WITH} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS key, idx, CAST({comparing.SORT_KEYS.get(k, 'max_combined_nesting * loc_code')} AS DOUBLE) AS score FROM r ORDER BY score DESC, idx LIMIT 20)" for k in SINGLE_KEYS))
+def sort_keys(spark, d):
+    from functools import reduce
+
+    rows = [comparing.sort_report(R(spark, d), k).select(F.lit(k).alias("key"), "idx", "score") for k in SINGLE_KEYS]
+    return reduce(lambda a, b: a.unionAll(b), rows)
+
+
+CONTRIBUTIONS = " UNION ALL ".join(f"SELECT pair_idx, {i} AS nth, '{m}' AS metric, {comparing.WEIGHTS.get(m, 1.0)}::DOUBLE * (abs(a.{m} - b.{m}) / (SELECT scale FROM scale WHERE metric = '{m}')) AS share FROM pairs JOIN l a ON a.idx = left_idx JOIN r b ON b.idx = right_idx" for i, m in enumerate(METRICS))
+
+
+@query(f"{WITH}, {PAIRS}, {p95_sql()}, c AS ({CONTRIBUTIONS}), o AS (SELECT *, row_number() OVER (PARTITION BY pair_idx ORDER BY share DESC, nth) AS n FROM c) SELECT pair_idx, coalesce(string_agg(metric, ', ' ORDER BY n) FILTER (n <= 3 AND share > 0), '') AS first, round(max(share), 6) AS largest FROM o GROUP BY pair_idx")
+def compare_contributors(spark, d):
+    rows = comparing.deviation(pairs_of(spark, d), L(spark, d), R(spark, d))
+    above = F.filter(F.slice("per_metric", 1, 3), lambda x: x["contribution"] > 0)
+    return rows.select("pair_idx", F.array_join(F.transform(above, lambda x: x["metric"]), ", ").alias("first"), F.round(F.col("per_metric")[0]["contribution"], 6).alias("largest"))
+
+
+@query(f"{WITH}, {PAIRS} SELECT pair_idx, {' + '.join(f'abs(a.{m} - b.{m})' for m in METRICS)} AS total FROM pairs JOIN l a ON a.idx = left_idx JOIN r b ON b.idx = right_idx")
+def fallback_deviation(spark, d):
+    return comparing.fallback_deviation(pairs_of(spark, d), L(spark, d), R(spark, d)).select("pair_idx", "total")
+
+
+@query(ORACLE["constants_diff"].replace("FROM s GROUP BY pair_idx", "FROM s GROUP BY pair_idx HAVING sum(a + b) > 0 ORDER BY score DESC, pair_idx LIMIT 20"))
+def constants_top(spark, d):
+    out = comparing.ranked_by(comparing.differing(comparing.constants_diff(frame(spark, d, standin.CONSTANTS))), "score")
+    size = lambda c: F.size(c).cast("long").alias(c)
+    return out.select("pair_idx", size("only_left"), size("only_right"), size("in_both"), F.col("score").cast("double").alias("score"))
+
+
+@query(f"WITH c AS ({duck(standin.CONSTANTS)}) SELECT pair_idx, kind, string_agg(value, ',' ORDER BY value) AS members, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY pair_idx, kind")
+def constants_by_kind(spark, d):
+    out = comparing.constants_by_kind(frame(spark, d, standin.CONSTANTS), "pair_idx")
+    return out.select("pair_idx", "kind", F.array_join("members", ",").alias("members"), F.size("members").cast("long").alias("n"))
+
+
+@query(f"WITH c AS ({duck(standin.CONSTANTS)}) SELECT pair_idx, value, count(*) AS n FROM c GROUP BY ALL")
+def constant_counts(spark, d):
+    return comparing.multiplicity(frame(spark, d, standin.CONSTANTS), "pair_idx", "value")
+
+
+@query(ORACLE["struct_deviation"].replace("SELECT a.name", "SELECT * FROM (SELECT a.name") + ") ORDER BY total DESC, left_name LIMIT 20")
+def struct_top(spark, d):
+    a, b = struct_sides(spark, d)
+    rows = comparing.struct_deviation(matching.match_structs(a, b), a, b).withColumn("total", F.round("total", 6))
+    return comparing.ranked_by(rows, "total", "left_name").select("left_name", "right_name", "total")
+
+
 # --- texts and JSON
 
 

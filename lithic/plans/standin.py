@@ -36,14 +36,20 @@ FROM {{part}} JOIN (SELECT l_partkey,
 LEFT, RIGHT = functions_sql("A"), functions_sql("R")
 #: Calls by name: a part calls the next line of an order, by plain name (ambiguous) or full name, sometimes a name that nobody has.
 CALLS = f"""SELECT DISTINCT CAST(a.l_partkey AS BIGINT) AS idx, CASE WHEN a.l_partkey % 5 = 0 THEN p_name WHEN a.l_partkey % 5 = 1 THEN 'libc_' || b.l_partkey ELSE {BASE} END AS callee
-FROM {{lineitem}} a JOIN {{lineitem}} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN {{part}} ON p_partkey = b.l_partkey WHERE a.l_quantity >= 40"""
+FROM {{lineitem}} a JOIN {{lineitem}} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN {{part}} ON p_partkey = b.l_partkey"""
 #: Vertices of the call graph: every fifth part goes by its plain name, so names repeat.
 VERTICES = f"SELECT CAST(p_partkey AS BIGINT) AS idx, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE {BASE} END AS name, '/src/' || p_brand AS file, CAST(p_partkey % 1000 + 1 AS INT) AS line_start FROM {{part}}"
-#: A thin graph with a few cycles, the same on both sides but for some edges.
-GRAPH_LEFT = "SELECT CAST(p_partkey AS BIGINT) AS src, CAST((p_partkey * 7 + 3) % (SELECT count(*) FROM {part}) AS BIGINT) AS dst FROM {part} WHERE p_size > 25"
-GRAPH_RIGHT = "SELECT CAST(p_partkey AS BIGINT) AS src, CAST((p_partkey * 7 + 3 + CASE WHEN p_size % 10 = 0 THEN 1 ELSE 0 END) % (SELECT count(*) FROM {part}) AS BIGINT) AS dst FROM {part} WHERE p_size > 25"
-#: A forest: each vertex calls one with a third of its number, so there are no cycles.
-FOREST = "SELECT DISTINCT CAST(p_partkey AS BIGINT) AS src, CAST(floor(p_partkey / 3) AS BIGINT) AS dst FROM {part} WHERE p_partkey > 0"
+#: Each part calls one other: by size its neighbour (two that do so call each other), one by a jump, or one with a third of its number; the right side differs for some.
+JUMP = "CASE WHEN p_size > 40 THEN (p_partkey + 1 - 2 * (p_partkey % 2)) % (SELECT count(*) FROM {{part}}) WHEN p_size > 35 THEN (p_partkey * 7 + 3 + {0}) % (SELECT count(*) FROM {{part}}) ELSE floor((p_partkey + {0}) / 3) END"
+GRAPH_LEFT = f"SELECT CAST(p_partkey AS BIGINT) AS src, CAST({JUMP.format('0')} AS BIGINT) AS dst FROM {{part}}"
+GRAPH_RIGHT = f"SELECT CAST(p_partkey AS BIGINT) AS src, CAST({JUMP.format('CASE WHEN p_size % 10 = 0 THEN 1 ELSE 0 END')} AS BIGINT) AS dst FROM {{part}}"
+#: Names of the left graph: one part in four has a name of its own, so no counterpart on the right.
+OWN_NAMES = f"SELECT CAST(p_partkey AS BIGINT) AS idx, CASE WHEN p_partkey % 4 = 0 THEN 'left_' || p_partkey ELSE {BASE} END AS name FROM {{part}}"
+BASE_NAMES = f"SELECT CAST(p_partkey AS BIGINT) AS idx, {BASE} AS name FROM {{part}}"
+#: Four parts in a row call each other in a ring, the small ones the first of the four, so each block has one group of one to four.
+RINGS = "SELECT CAST(p_partkey AS BIGINT) AS src, CAST(p_partkey - p_partkey % 4 + CASE WHEN p_size > 10 THEN (p_partkey % 4 + 1) % 4 ELSE 0 END AS BIGINT) AS dst FROM {part}"
+#: A forest: each vertex calls one with a third of its number, the first one nobody, so there are no cycles.
+FOREST = "SELECT DISTINCT CAST(p_partkey AS BIGINT) AS src, CAST(CASE WHEN p_partkey = 0 THEN -1 ELSE floor(p_partkey / 3) END AS BIGINT) AS dst FROM {part}"
 #: Constants of pairs: an event type is a pair of sides.
 CONSTANTS = """SELECT CAST(user_id AS BIGINT) AS pair_idx, CASE WHEN event_type IN ('click', 'view') THEN 'left' ELSE 'right' END AS side,
  CASE WHEN event_id % 4 = 0 THEN 'string' ELSE 'int' END AS kind, CAST(CAST(floor(value) AS BIGINT) % 20 AS VARCHAR(99)) AS value FROM {events}"""
@@ -51,7 +57,12 @@ TYPES = ("int", "f64", "bool", "char", "String", "char *", "Vec<u8>", "[u8; 4]",
 FIELDS = f"""SELECT p_brand AS name, CAST(p_partkey AS BIGINT) AS ord, CASE p_partkey % {len(TYPES)} {' '.join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPES))} END AS type, p_size FROM {{part}}"""
 LITERALS = """SELECT CAST(o_orderkey AS BIGINT) AS id, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderkey AS VARCHAR(99)) WHEN 1 THEN '-' || o_orderkey WHEN 2 THEN '1_' || o_orderkey || 'u32'
  WHEN 3 THEN o_orderkey || 'UL' WHEN 4 THEN 'x' || o_orderkey ELSE '  ' || o_orderkey END AS text FROM {orders}"""
-PROGRESS = "SELECT replace(p_name, ' ', '_') || '_' || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS translated, p_partkey AS row_no FROM {part} WHERE p_size % 3 = 0"
+PROGRESS = f"""SELECT CASE WHEN p_size % 3 = 0 THEN {BASE} ELSE 'gone_' || p_partkey END AS name, '/src/' || lower(replace(p_brand, '#', '')) || '/' || replace(p_name, ' ', '_') || '.' || {EXT} AS file,
+ CASE WHEN p_size % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS translated, p_partkey AS row_no FROM {{part}}"""
+FLOATS = """SELECT CAST(o_orderkey AS BIGINT) AS id, CASE o_orderkey % 6 WHEN 0 THEN o_orderkey || '.5' WHEN 1 THEN '-' || o_orderkey || '.25f' WHEN 2 THEN o_orderkey || 'e2' WHEN 3 THEN '0x' || o_orderkey
+ WHEN 4 THEN 'x' || o_orderkey ELSE o_orderkey || '.0D' END AS text FROM {orders}"""
+RADIX = """SELECT CAST(o_orderkey AS BIGINT) AS id, CASE o_orderkey % 4 WHEN 0 THEN '0x' || hex(o_orderkey) WHEN 1 THEN '-0X' || lower(hex(o_orderkey)) || 'u' WHEN 2 THEN '0b' || bin(o_orderkey) ELSE '0o' || (o_orderkey % 8) END AS text,
+ CASE o_orderkey % 4 WHEN 1 THEN -o_orderkey WHEN 3 THEN o_orderkey % 8 ELSE o_orderkey END AS value FROM {orders}"""
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark")
 
