@@ -5,7 +5,7 @@ import pytest
 
 from lithic.plans import registry
 
-SLOW = {"match_all_stages", "predict_full"}  # without SQL; compared by hand in other tests
+SLOW = {"match_all_stages", "predict_full"}  # without SQL
 
 
 def test_each_oracle_has_its_query():
