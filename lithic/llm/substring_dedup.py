@@ -42,6 +42,8 @@ SEGMENT, STRETCH = 1 << 19, 1 << 20
 SHARD_RUNS = 400_000
 #: Runs with one anchor up to which one task refines them.
 HELD_RUNS = 50_000
+#: Contexts or strings that are sent on together, about.
+FETCHED_ROWS = 20_000
 #: Bytes of contexts merged together, about, and the shards they are parted into.
 MERGED_BYTES, SHARDS = 1 << 20, 4
 #: In `at`, start << 8 | number of starts; this number marks a settled stretch whose length is in `c`.
@@ -351,45 +353,42 @@ def merged(contexts: DataFrame, keys: list[str]) -> DataFrame:
     return contexts.repartition(*keys).sortWithinPartitions(*NAMES).mapInArrow(run, RUNS)
 
 
-def fetched(docs: DataFrame, left_over: DataFrame) -> DataFrame:
-    """The runs left over with the bytes of their contexts."""
+def fetched(docs: DataFrame, left_over: DataFrame, single: bool = False) -> DataFrame:
+    """The runs left over with the bytes of their contexts; single: each string of them as a run of its own, dealt by its digest."""
+
+    def strings(h, c, at, data):
+        if not single:
+            yield h, c, at, data
+            return
+        for k in range(at & 255):
+            own = data[k : k + SPAN]
+            digest = hashlib.blake2b(own, digest_size=16).digest()
+            yield int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), (at >> 8) + k << 8 | 1, own
 
     def run(batches):
         import pyarrow as pa
 
+        def made(out):
+            return pa.record_batch([*[pa.array(x, pa.int64()) for x in out[:5]], pa.array(out[5], pa.binary())], names=[*NAMES, "bytes"])
+
         for batch in batches:
             out = [[] for _ in range(6)]
             for doc, mark, text, runs in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), batch["text"], batch["_sd_list"].to_pylist()):
                 data = text.as_buffer()
                 for r in runs:
                     start, count = r["at"] >> 8, r["at"] & 255
-                    for col, x in zip(out, (r["h"], r["c"], doc, mark, r["at"], data.slice(start, min(count - 1 + SPAN, data.size - start)).to_pybytes())):
-                        col.append(x)
-            yield pa.record_batch([*[pa.array(x, pa.int64()) for x in out[:5]], pa.array(out[5], pa.binary())], names=[*NAMES, "bytes"])
+                    for h, c, at, own in strings(r["h"], r["c"], r["at"], data.slice(start, min(count - 1 + SPAN, data.size - start)).to_pybytes()):
+                        for col, x in zip(out, (h, c, doc, mark, at, own)):
+                            col.append(x)
+                if len(out[0]) >= FETCHED_ROWS:
+                    yield made(out)
+                    out = [[] for _ in range(6)]
+            yield made(out)
 
     lists = left_over.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "c", "at")).alias("_sd_list"))
     return docs.join(lists, ["doc_id", "mark"]).select("doc_id", "mark", "text", "_sd_list").mapInArrow(run, RUNS + ", bytes binary")
 
 
-def single_strings(contexts: DataFrame) -> DataFrame:
-    """Each string of the runs as a run of its own, dealt by its digest."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for doc, mark, at, data in zip(*(batch[k].to_pylist() for k in ("doc_id", "mark", "at", "bytes"))):
-                for k in range(at & 255):
-                    own = data[k : k + SPAN]
-                    h, c = np.frombuffer(hashlib.blake2b(own, digest_size=16).digest(), "<i8").tolist()
-                    rows.append((h, c, doc, mark, (at >> 8) + k << 8 | 1, own))
-            yield pa.record_batch([*[pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], pa.array([r[5] for r in rows], pa.binary())], names=[*NAMES, "bytes"])
-
-    return contexts.mapInArrow(run, RUNS + ", bytes binary")
-
-
 def prepared(docs: DataFrame) -> DataFrame:
     """doc_id (null: the smallest), mark (crc of the text) and text (null: empty)."""
     text = text_or_empty().cast("string")
@@ -403,12 +402,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     scanned = cut(sharing(shard_runs(own)), "sharing")
     found, left_over = scanned.where(is_settled), scanned.where(~is_settled)
     crowded = cut(left_over.groupBy("h").count().where(F.col("count") > HELD_RUNS).select("h"), "crowded")
-    contexts = fetched(own, left_over)
     if not crowded.head(1):
-        found = found.unionByName(merged(contexts, ["h"]))
+        found = found.unionByName(merged(fetched(own, left_over), ["h"]))
     else:
-        found = found.unionByName(merged(contexts.join(crowded, "h", "left_anti"), ["h"]))
-        found = found.unionByName(merged(single_strings(contexts.join(crowded, "h", "left_semi")), ["h", "c"]))
+        found = found.unionByName(merged(fetched(own, left_over.join(crowded, "h", "left_anti")), ["h"]))
+        found = found.unionByName(merged(fetched(own, left_over.join(crowded, "h", "left_semi"), True), ["h", "c"]))
     lists = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(F.shiftright("at", 8).alias("start"), F.col("c").alias("count"))).alias("_sd_list"))
     return cut(lists, "repeated")
 
@@ -429,11 +427,11 @@ def without(data: bytes, starts: list) -> tuple[int, int, bytes]:
     return removed, spans, b"".join(kept)
 
 
-def deduplicated(docs: DataFrame, lists: DataFrame | None = None, digest_only: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with the other columns and `kept` (binary) unless digest_only."""
-    lists = repeated(docs) if lists is None else lists
-    own = docs.select("doc_id", "text") if digest_only else aside(docs, MADE)
-    made = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+def removed(docs: DataFrame, lists: DataFrame, kept: str | None) -> DataFrame:
+    """docs with `_sd_out`: n_bytes, n_removed, n_spans, kept_sha256 and `kept`, what is left: "binary", "string" (null where nothing goes; without
+    the characters that removal cuts in two) or None (always null). One Python function makes all of it: a second one after it would be
+    a second worker a task, and workers stay for the stages that follow."""
+    made = f"n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {kept or 'binary'}"
 
     @F.pandas_udf(made)
     def remove(texts, starts):
@@ -442,27 +440,34 @@ def deduplicated(docs: DataFrame, lists: DataFrame | None = None, digest_only: b
         rows = []
         for text, own_starts in zip(texts, starts):
             data = (text or "").encode("utf-8", "surrogatepass")
-            removed, spans, kept = without(data, [] if own_starts is None else list(own_starts))
-            rows.append((len(data), removed, spans, hashlib.sha256(kept).hexdigest(), None if digest_only else kept))
+            n, spans, left = without(data, [] if own_starts is None else list(own_starts))
+            digest = hashlib.sha256(left).hexdigest()
+            if kept == "string":
+                left = left.decode("utf-8", "ignore") if n else None
+            rows.append((len(data), n, spans, digest, left if kept else None))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in made.split(", ")])
 
-    keyed = own.withColumns({"_sd_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_sd_mark": F.crc32(text_or_empty())})
+    keyed = docs.withColumns({"_sd_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_sd_mark": F.crc32(text_or_empty())})
     named = lists.select(F.col("doc_id").alias("_sd_id"), F.col("mark").alias("_sd_mark"), "_sd_list")
     joined = keyed.join(named, ["_sd_id", "_sd_mark"], "left")
-    out = joined.withColumn("_sd_out", remove(F.col("text").cast("string"), F.col("_sd_list")))
-    names = [x.split()[0] for x in made.split(", ")][: -1 if digest_only else None]
+    return joined.withColumn("_sd_out", remove(F.col("text").cast("string"), F.col("_sd_list")))
+
+
+def deduplicated(docs: DataFrame, lists: DataFrame | None = None, digest_only: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with the other columns and `kept` (binary) unless digest_only."""
+    lists = repeated(docs) if lists is None else lists
+    own = docs.select("doc_id", "text") if digest_only else aside(docs, MADE)
+    out = removed(own, lists, None if digest_only else "binary")
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *([] if digest_only else ["kept"])]
     return out.select(*([] if not digest_only else ["doc_id"]), *([] if digest_only else own_columns(own)), *[F.col("_sd_out")[c].alias(c if digest_only else f"_sd_{c}") for c in names])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with what is left of their texts. A character that removal cuts in two goes wholly."""
-    out = deduplicated(docs)
-
-    @F.pandas_udf("string")
-    def decoded(kept):
-        return kept.map(lambda x: bytes(x).decode("utf-8", "ignore"))
-
-    changed = out.withColumn("text", F.when(F.col("_sd_n_removed") > 0, decoded(F.col("_sd_kept"))).otherwise(F.col("text")))
+    own = aside(docs, MADE)
+    out = removed(own, repeated(docs), "string").select(*own_columns(own), "_sd_out")
+    changes = F.col("_sd_out.n_removed") > 0
+    changed = out.withColumn("text", F.when(changes, F.col("_sd_out.kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_sd_n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return changed.drop(*MADE).toDF(*docs.columns)
+        changed = changed.withColumn("n_chars", F.when(changes, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return changed.drop("_sd_out").toDF(*docs.columns)

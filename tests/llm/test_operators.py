@@ -396,6 +396,12 @@ def test_substring_dedup_empty(empty):
     assert substring_dedup.deduplicated(empty, digest_only=True).count() == 0
 
 
+def test_substring_dedup_has_one_python_function_a_task(docs):
+    """Two in a row would be two workers a task, and idle workers keep their memory while the next stage runs."""
+    plan = substring_dedup.dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython|MapInArrow|MapInPandas", plan.split("Initial Plan")[0])) == 1
+
+
 @pytest.mark.parametrize("held", [substring_dedup.HELD_RUNS, 1])
 def test_substring_dedup_rows_read_twice(spark, rows, held, monkeypatch):
     """Rows alike in doc_id and text are one document: each copy has the result of the one."""
