@@ -43,11 +43,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: the shuffle files of a query go when it has ended, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write to the shared folder and read back: the rows no longer depend on any executor."""
-    bounded_batches(df.sparkSession)
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    """Write to the shared folder and read back: the rows no longer depend on any executor, and the shuffles that made them are freed."""
+    spark = df.sparkSession
+    bounded_batches(spark)
+    path = fresh_path(spark, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,11 @@
 """Each operator against a brute-force version on a small table with nulls, empty and long texts, ties and repeated rows."""
 
+import glob
 import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import public_tokenizers
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lithic.llm import byte_bpe, exact_dedup, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sharding, substring_dedup, text_stats, token_files
+from lithic.llm.common import cut
 
 WORD, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 R = random.Random(5)
@@ -412,6 +415,24 @@ def test_substring_dedup_rows_read_twice(spark, rows, held, monkeypatch):
     assert len(got) == 2 * len(rows) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id] for r in got)
 
 
+def test_cut_frees_its_shuffles(spark, tmp_path):
+    def files():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+
+    numbers = spark.range(5000).withColumn("k", F.col("id") % 50)
+    wide = numbers.repartition(4, "k").join(numbers.groupBy("k").count().hint("merge"), "k")
+    before = files()
+    wide.write.parquet(str(tmp_path / "plain"))
+    assert files() - before  # a plain write leaves them to the driver's garbage collection
+    before = files()
+    found = cut(wide)
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and found.count() == 5000
+
+
 def test_sharding(spark, docs, rows, empty):
     got = sharding.shard(docs).withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
