@@ -143,6 +143,17 @@ def test_ambiguous_and_unresolved_calls(spark):
     assert tuple(callgraph.resolution_counts(calls, functions).first()) == (1, 1, 1)
 
 
+def test_edges_of_common_names_are_not_exchanged(spark, monkeypatch):
+    monkeypatch.setattr(callgraph, "NAMESAKES", 3)
+    functions = spark.createDataFrame([(i, "many" if i < 10 else f"f{i}" if i < 15 else None) for i in range(16)], "idx long, name string")
+    calls = spark.createDataFrame([(i, c) for i in range(16) for c in ("many", "f12", "puts", None)] * 2, "idx long, callee string")
+    found = callgraph.edges(calls, functions)
+    assert sorted(map(tuple, found.collect())) == sorted((i, j) for i in range(16) for j in (*range(10), 12))
+    assert sorted(map(tuple, callgraph.edges(calls, functions, strict=True).collect())) == [(i, 12) for i in range(16)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("SortMergeJoin")]
+
+
 def test_graph_diff(spark):
     own = spark.createDataFrame([(i, i, i) for i in range(4)], "pair_idx long, left_idx long, right_idx long")
     a = spark.createDataFrame([(0, 1), (1, 2)], "src_pair long, dst_pair long")
