@@ -23,7 +23,7 @@ def call_rows(functions: DataFrame) -> DataFrame:
 def resolved(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """calls with n_candidates: how many functions have the callee's name."""
     names = functions.groupBy("name").agg(F.count(F.lit(1)).alias("n_candidates"))
-    return calls.join(names, F.col("callee") == F.col("name"), "left").select("idx", "callee", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
+    return meet(calls, names, F.col("callee") == F.col("name"), "left").select("idx", "callee", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
 def edges(calls: DataFrame, functions: DataFrame, strict: bool = False) -> DataFrame:
@@ -123,19 +123,30 @@ def bottom_up(vertices: DataFrame, graph: DataFrame) -> DataFrame:
     return vertices.groupBy("report_id").cogroup(graph.groupBy("report_id")).applyInPandas(run, ORDERED)
 
 
+#: A front of so many pairs at most is broadcast (a few MB); a larger one is shuffled.
+FRONT = 200_000
+#: Written rounds that a closure reads one by one before they are written as one.
+ROUNDS = 8
+
+
 def reachable(graph: DataFrame, seeds: DataFrame, cut) -> DataFrame:
     """Pairs (seed, idx): everything that edges lead to from each seed, the seed itself only if it lies on a cycle.
 
     Semi-naive: each round joins the newest pairs to the edges and drops known ones, until none is new. `cut` writes a frame to the
     shared folder and reads it back, so lineage stays short and no round depends on one executor's disk.
     """
-    step = lambda front: front.join(graph, F.col("idx") == F.col("src")).select("seed", F.col("dst").alias("idx")).distinct()
-    found = front = cut(step(seeds.select(F.col("idx").alias("seed"), "idx")))
-    parts = [found]
-    while front.head(1):
-        known = reduce(DataFrame.unionAll, parts)
-        front = cut(step(front).join(known, ["seed", "idx"], "left_anti"))
-        parts.append(front)
+    near = graph.select("src", "dst")
+
+    def step(front: DataFrame, n: int) -> DataFrame:
+        rows = near.join(F.broadcast(front), F.col("src") == F.col("idx")) if n <= FRONT else meet(near, front, F.col("src") == F.col("idx"))
+        return rows.select("seed", F.col("dst").alias("idx")).distinct()
+
+    first = seeds.select(F.col("idx").alias("seed"), "idx")
+    parts = [front := cut(step(first, first.count()))]
+    while n := front.count():
+        if len(parts) > ROUNDS:
+            parts = [cut(reduce(DataFrame.unionAll, parts))]
+        parts.append(front := cut(meet(step(front, n), reduce(DataFrame.unionAll, parts), ["seed", "idx"], "left_anti")))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -149,13 +160,19 @@ def trimmed(live: DataFrame, open_: DataFrame, cut) -> tuple[DataFrame, DataFram
     own (idx, colour), and those that stay."""
     n = live.count()
     while n:
-        ends = live.select(F.col("src").alias("idx")).intersect(live.select(F.col("dst").alias("idx")))
-        live = cut(live.join(ends, live["src"] == ends["idx"], "left_semi").join(ends, live["dst"] == ends["idx"], "left_semi"))
+        ends = meet(live.select(F.col("src").alias("idx")).distinct(), live.select(F.col("dst").alias("idx")), "idx", "left_semi")
+        live = cut(between(live, ends))
         n, before = live.count(), n
         if n == before:
             break
     stay = live.select(F.col("src").alias("idx")).distinct()
-    return live, cut(open_.join(stay, "idx", "left_anti").select("idx", F.col("idx").alias("colour"))), cut(open_.join(stay, "idx", "left_semi"))
+    return live, cut(meet(open_, stay, "idx", "left_anti").select("idx", F.col("idx").alias("colour"))), cut(meet(open_, stay, "idx", "left_semi"))
+
+
+def between(live: DataFrame, kept: DataFrame) -> DataFrame:
+    """The edges with both ends among kept (idx)."""
+    end = lambda name: kept.select(F.col("idx").alias(name))
+    return meet(meet(live, end("src"), "src", "left_semi"), end("dst"), "dst", "left_semi").select("src", "dst")
 
 
 def scc_distributed(vertices: DataFrame, graph: DataFrame, cut) -> DataFrame:
@@ -174,24 +191,24 @@ def scc_distributed(vertices: DataFrame, graph: DataFrame, cut) -> DataFrame:
             break
         colour = cut(open_.select("idx", F.col("idx").alias("colour")))
         while True:
-            pushed = live.join(colour, F.col("src") == F.col("idx")).groupBy("dst").agg(F.max("colour").alias("_c"))
-            new = cut(colour.join(pushed, F.col("idx") == F.col("dst"), "left").select("idx", F.greatest("colour", F.coalesce("_c", "colour")).alias("colour")))
-            same = new.join(colour.withColumnRenamed("colour", "_old"), "idx").where("colour <> _old").head(1)
-            colour = new
-            if not same:
+            pushed = meet(live, colour, F.col("src") == F.col("idx")).groupBy("dst").agg(F.max("colour").alias("_c"))
+            new = cut(meet(colour, pushed, F.col("idx") == F.col("dst"), "left").select("idx", F.greatest("colour", F.coalesce("_c", "colour")).alias("colour"), (F.col("_c") > F.col("colour")).alias("_new")))
+            colour = new.select("idx", "colour")
+            if not new.where("_new").head(1):
                 break
-        inside = live.join(colour, F.col("src") == F.col("idx")).select("src", "dst", "colour").join(colour.select(F.col("idx").alias("dst"), "colour"), ["dst", "colour"])
+        inside = meet(meet(live, colour, F.col("src") == F.col("idx")).select("src", "dst", "colour"), colour.select(F.col("idx").alias("dst"), "colour"), ["dst", "colour"])
         back = cut(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "colour"))
         front = group = cut(colour.where("idx = colour"))
         parts = [group]
         while front.head(1):
             known = reduce(DataFrame.unionAll, parts)
-            front = cut(front.join(back, (front["idx"] == back["src"]) & (front["colour"] == back["colour"])).select(back["dst"].alias("idx"), back["colour"]).distinct().join(known, ["idx", "colour"], "left_anti"))
+            called = meet(front, back.select(F.col("src").alias("idx"), "dst", "colour"), ["idx", "colour"]).select(F.col("dst").alias("idx"), "colour").distinct()
+            front = cut(meet(called, known, ["idx", "colour"], "left_anti"))
             parts.append(front)
         done = cut(reduce(DataFrame.unionAll, parts))
         closed.append(done)
-        open_ = cut(open_.join(done, "idx", "left_anti"))
-        live = cut(live.join(open_, live["src"] == open_["idx"], "left_semi").join(open_, live["dst"] == open_["idx"], "left_semi"))
+        open_ = cut(meet(open_, done, "idx", "left_anti"))
+        live = cut(between(live, open_))
     members = reduce(DataFrame.unionAll, closed)
     return members.withColumn("scc", F.min("idx").over(Window.partitionBy("colour"))).select("idx", "scc")
 
@@ -200,7 +217,7 @@ def levels(graph: DataFrame, vertices: DataFrame, cut) -> DataFrame:
     """idx, level: longest path to a leaf in a graph without cycles, itself a valid bottom-up order."""
     found = level = cut(vertices.select("idx", F.lit(0).alias("level")))
     while True:
-        raised = cut(graph.join(level, F.col("dst") == F.col("idx")).groupBy("src").agg((F.max("level") + 1).alias("level")))
+        raised = cut(meet(graph, level, F.col("dst") == F.col("idx")).groupBy("src").agg((F.max("level") + 1).alias("level")))
         if not raised.head(1):
             return found.groupBy("idx").agg(F.max("level").alias("level"))
         level = raised.select(F.col("src").alias("idx"), "level")
@@ -210,12 +227,12 @@ def levels(graph: DataFrame, vertices: DataFrame, cut) -> DataFrame:
 def translated(graph: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     """Edges between pairs: both ends matched."""
     end = lambda name: pairs.select(F.col(f"{side}_idx").alias(name), F.col("pair_idx").alias(f"{name}_pair"))
-    return graph.join(end("src"), "src").join(end("dst"), "dst").select("src_pair", "dst_pair").distinct()
+    return meet(meet(graph, end("src"), "src"), end("dst"), "dst").select("src_pair", "dst_pair").distinct()
 
 
 def edge_diff(left_edges: DataFrame, right_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     on = ["src_pair", "dst_pair"]
-    return left_edges.join(right_edges, on, "left_anti"), right_edges.join(left_edges, on, "left_anti")
+    return meet(left_edges, right_edges, on, "left_anti"), meet(right_edges, left_edges, on, "left_anti")
 
 
 def graph_diff(pairs: DataFrame, left_edges: DataFrame, right_edges: DataFrame, left_scc: DataFrame, right_scc: DataFrame) -> DataFrame:
@@ -231,9 +248,9 @@ def graph_diff(pairs: DataFrame, left_edges: DataFrame, right_edges: DataFrame,
     rows = pairs
     for frame, name in ((left_edges, "left"), (right_edges, "right")):
         for part in near(frame, name):
-            rows = rows.join(part, "pair_idx", "left")
+            rows = meet(rows, part, "pair_idx", "left")
     for frame, name in ((left_scc, "left"), (right_scc, "right")):
-        rows = rows.join(frame.select(F.col("idx").alias(f"{name}_idx"), F.col("scc_kind").alias(f"{name}_recursive_kind"), F.col("scc_size").alias(f"{name}_scc_size")), f"{name}_idx", "left")
+        rows = meet(rows, frame.select(F.col("idx").alias(f"{name}_idx"), F.col("scc_kind").alias(f"{name}_recursive_kind"), F.col("scc_size").alias(f"{name}_scc_size")), f"{name}_idx", "left")
     empty = F.array().cast("array<bigint>")
     lists = [f"{s}_{w}" for s in ("left", "right") for w in ("callers", "callees")]
     rows = rows.withColumns({c: F.coalesce(F.col(c).cast("array<bigint>"), empty) for c in lists})
@@ -265,15 +282,15 @@ NOT_RIGHT = "mapped counterpart is not upstream on the original-code side"
 def upstream_pairs(pairs: DataFrame, deviations: DataFrame, left_up: DataFrame, right_up: DataFrame) -> DataFrame:
     """Pairs with an end among the callers of the seeds: flags, overlap, total. *_up: idx."""
     flag = lambda frame, side: frame.select(F.col("idx").alias(f"{side}_idx"), F.lit(True).alias(f"{side}_in_upstream")).distinct()
-    rows = pairs.join(flag(left_up, "left"), "left_idx", "left").join(flag(right_up, "right"), "right_idx", "left").na.fill(False, ["left_in_upstream", "right_in_upstream"])
+    rows = meet(meet(pairs, flag(left_up, "left"), "left_idx", "left"), flag(right_up, "right"), "right_idx", "left").na.fill(False, ["left_in_upstream", "right_in_upstream"])
     rows = rows.where("left_in_upstream or right_in_upstream").withColumn("overlap", F.col("left_in_upstream") & F.col("right_in_upstream"))
-    return rows.join(deviations.select("pair_idx", "total"), "pair_idx")
+    return meet(rows, deviations.select("pair_idx", "total"), "pair_idx")
 
 
 def upstream_warnings(rows: DataFrame, pairs: DataFrame, left_up: DataFrame, right_up: DataFrame) -> DataFrame:
     """side, idx, counterpart, message: callers whose counterpart is missing or not a caller. rows: upstream_pairs."""
     one = lambda cond, side, other, text: rows.where(cond).select(F.lit(side).alias("side"), F.col(f"{side}_idx").alias("idx"), F.col(f"{other}_idx").alias("counterpart"), F.lit(text).alias("message"))
-    alone = lambda up, side: up.join(pairs.select(F.col(f"{side}_idx").alias("idx")), "idx", "left_anti").select(F.lit(side).alias("side"), "idx", F.lit(None).cast("long").alias("counterpart"), F.lit(NO_COUNTERPART).alias("message"))
+    alone = lambda up, side: meet(up, pairs.select(F.col(f"{side}_idx").alias("idx")), "idx", "left_anti").select(F.lit(side).alias("side"), "idx", F.lit(None).cast("long").alias("counterpart"), F.lit(NO_COUNTERPART).alias("message"))
     parts = [one("left_in_upstream and not right_in_upstream", "left", "right", NOT_RIGHT), one("right_in_upstream and not left_in_upstream", "right", "left", NOT_LEFT), alone(left_up, "left"), alone(right_up, "right")]
     return reduce(DataFrame.unionByName, parts)
 

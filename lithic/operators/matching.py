@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import cut
+from ..common import cut, meet
 from ..functions import scalar
 
 #: Order of the stages and their names in results.
@@ -29,13 +29,13 @@ def ranked(rows: DataFrame, key: str) -> DataFrame:
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = parts.groupBy(key, "_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     own = Window.partitionBy(key, "_part").orderBy("idx")
-    return parts.withColumn("_own", F.row_number().over(own)).join(counts, [key, "_part"]).withColumn("_rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")
+    return meet(parts.withColumn("_own", F.row_number().over(own)), counts, [key, "_part"]).withColumn("_rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")
 
 
 def zip_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
     """Pairs (left_idx, right_idx): k-th with k-th row of each key; null keys pair with nothing."""
     side = lambda rows, key, name: ranked(rows.select("idx", key.alias("_key")).where("_key is not null"), "_key").select("_key", "_rank", F.col("idx").alias(name))
-    return side(left, left_key, "left_idx").join(side(right, right_key, "right_idx"), ["_key", "_rank"]).select(*PAIR)
+    return meet(side(left, left_key, "left_idx"), side(right, right_key, "right_idx"), ["_key", "_rank"]).select(*PAIR)
 
 
 def match_ffi(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def match_exact(left: DataFrame, right: DataFrame, all_right: DataFrame | None =
     last = (right if all_right is None else all_right).groupBy("name").agg(F.max("idx").alias("right_idx"))
     free = right.select(F.col("idx").alias("right_idx"))
     first = left.groupBy("name").agg(F.min("idx").alias("left_idx"))
-    return first.join(last, "name").join(free, "right_idx", "left_semi").select(*PAIR)
+    return meet(meet(first, last, "name"), free, "right_idx", "left_semi").select(*PAIR)
 
 
 def match_fingerprint(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def match_fingerprint(left: DataFrame, right: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=PAIR).astype("int64")
 
     tokens = lambda rows: side(rows).select(*block, F.explode(F.filter("tokens", lambda t: F.octet_length(t) >= 4)).alias("t")).distinct()
-    near = lambda rows, other: side(rows).join(side(rows).select(*block, "idx", F.explode("tokens").alias("t")).join(tokens(other), [*block, "t"], "left_semi").select("idx").distinct(), "idx", "left_semi")
+    near = lambda rows, other: meet(side(rows), meet(side(rows).select(*block, "idx", F.explode("tokens").alias("t")), tokens(other), [*block, "t"], "left_semi").select("idx").distinct(), "idx", "left_semi")
     return near(left, right).groupBy(*block).cogroup(near(right, left).groupBy(*block)).applyInPandas(greedy, "left_idx long, right_idx long")
 
 
@@ -139,7 +139,7 @@ def match(left: DataFrame, right: DataFrame, entries: list[dict] | None = None,
 
     def free(rows: DataFrame, side: str) -> DataFrame:
         used = [d.select(F.col(f"{side}_idx").alias("idx")) for d in done]
-        return rows.join(reduce(DataFrame.unionAll, used), "idx", "left_anti") if used else rows
+        return meet(rows, reduce(DataFrame.unionAll, used), "idx", "left_anti") if used else rows
 
     for k, stage in enumerate(STAGES):
         if stage not in stages:
@@ -166,7 +166,7 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     before = Window.orderBy(*first, "_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each million positions
     counts = parts.groupBy(*first, "_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     own = Window.partitionBy(*first, "_part").orderBy(last)
-    return parts.withColumn("_own", F.row_number().over(own)).join(counts, [*first, "_part"]).withColumn(name, (F.col("_own") + F.col("_before") - 1).cast("long")).drop("_own", "_before", "_part")
+    return parts.withColumn("_own", F.row_number().over(own)).join(F.broadcast(counts), [*first, "_part"]).withColumn(name, (F.col("_own") + F.col("_before") - 1).cast("long")).drop("_own", "_before", "_part")
 
 
 def match_structs(left: DataFrame, right: DataFrame, entries: list[dict] | None = None) -> DataFrame:
@@ -180,4 +180,4 @@ def paired(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """pairs with both sides' columns as l_* and r_*."""
     side = lambda rows, p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns])
     a, b = side(left, "l"), side(right, "r")
-    return pairs.join(a, F.col("left_idx") == F.col("l_idx")).join(b, F.col("right_idx") == F.col("r_idx")).drop("l_idx", "r_idx")
+    return meet(meet(pairs, a, F.col("left_idx") == F.col("l_idx")), b, F.col("right_idx") == F.col("r_idx")).drop("l_idx", "r_idx")

@@ -135,6 +135,28 @@ def test_components_and_closure_agree_with_reachability(spark):
     assert {(r.seed, r.idx) for r in up} == {(s, i) for s in (3, 7) for i in reach if s in reach[i]}
 
 
+def recorded(plans):
+    """cut that keeps the plans of what it writes."""
+
+    def write(frame):
+        plans.append(frame._jdf.queryExecution().sparkPlan().toString())
+        return cut(frame)
+
+    return write
+
+
+def test_closures_and_components_broadcast_no_growing_table(spark, monkeypatch):
+    edges, plans = [(i, i + 1) for i in range(12)] + [(12, 9), (3, 0)], []
+    g, n = graph(spark, edges).select("src", "dst"), spark.createDataFrame([(12,), (2,)], "idx long")
+    monkeypatch.setattr(callgraph, "FRONT", 0)
+    monkeypatch.setattr(callgraph, "ROUNDS", 3)
+    up = callgraph.callers(g, n, recorded(plans)).collect()
+    assert sorted(map(tuple, up)) == sorted([(2, i) for i in range(4)] + [(12, i) for i in range(13)])
+    scc = {r.idx: r.scc for r in callgraph.scc_distributed(nodes(spark, 13), g, recorded(plans)).collect()}
+    assert scc == {i: 0 if i < 4 else 9 if i > 8 else i for i in range(13)}
+    assert len(plans) > 20 and not any("Broadcast" in p for p in plans)
+
+
 def test_ambiguous_and_unresolved_calls(spark):
     functions = spark.createDataFrame([(0, "a"), (1, "b"), (2, "b")], "idx long, name string")
     calls = spark.createDataFrame([(0, "b"), (0, "puts"), (1, "a")], "idx long, callee string")
