@@ -58,69 +58,105 @@ def self_recursive(graph: DataFrame) -> DataFrame:
     return graph.where("src = dst").select(F.col("src").alias("idx")).distinct()
 
 
-def tarjan(vertices: list[int], neighbours: dict[int, list[int]]) -> list[list[int]]:
-    """Strongly connected components in the order in which they complete: callees before callers. No recursion."""
-    number, low, on_stack, stack, out = {}, {}, set(), [], []
-    for start in vertices:
-        if start in number:
+def completed(n: int, start, near):
+    """Tarjan's components of vertices 0 to n - 1, whose neighbours stand in near[start[v]:start[v + 1]]: for each vertex how many complete
+    in components before its own (callees come before callers), and the size of its component. Numbers of four bytes, no recursion."""
+    from array import array
+
+    zeros = lambda: array("i", bytes(4 * n))
+    number, low, first, size, at = zeros(), zeros(), zeros(), zeros(), array("q", start)
+    closed, stack, path, count, done = bytearray(n), array("i"), array("i"), 0, 0
+    for root in range(n):
+        if number[root]:
             continue
-        number[start] = low[start] = len(number)
-        stack.append(start)
-        on_stack.add(start)
-        work = [(start, iter(neighbours.get(start, ())))]
-        while work:
-            v, rest = work[-1]
-            for w in rest:
-                if w not in number:
-                    number[w] = low[w] = len(number)
-                    stack.append(w)
-                    on_stack.add(w)
-                    work.append((w, iter(neighbours.get(w, ()))))
-                    break
-                if w in on_stack:
-                    low[v] = min(low[v], number[w])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == number[v]:
-                    group = [stack.pop()]
-                    while group[-1] != v:
-                        group.append(stack.pop())
-                    on_stack.difference_update(group)
-                    out.append(group)
-    return out
-
-
-ORDERED = "report_id string, idx long, pos long, scc_id long, scc_kind string, scc_size long"
+        v, opened = root, True
+        while True:
+            if opened:
+                count += 1
+                number[v] = low[v] = count
+                stack.append(v)
+                opened = False
+            if at[v] < start[v + 1]:
+                w = near[at[v]]
+                at[v] += 1
+                if not number[w]:
+                    path.append(v)
+                    v, opened = w, True
+                elif not closed[w] and number[w] < low[v]:
+                    low[v] = number[w]
+                continue
+            if low[v] == number[v]:
+                k = len(stack) - 1
+                while stack[k] != v:
+                    k -= 1
+                group = stack[k:]
+                del stack[k:]
+                for w in group:
+                    closed[w], first[w], size[w] = 1, done, len(group)
+                done += len(group)
+            if not path:
+                break
+            u = path.pop()
+            low[u] = min(low[u], low[v])
+            v = u
+    return first, size
+
+
+RECURSION = "report_id string, idx long, first long, scc_id long, scc_size long"
+
+
+def recursion(vertices: DataFrame, graph: DataFrame) -> DataFrame:
+    """report_id, idx, first (how many vertices complete in groups before), scc_id (dense over recursive groups, else null), scc_size,
+    scc_kind (none, self, mutual).
+
+    The order in which a depth-first search completes has no parallel form, so one report's graph is a task's work; reports run side by
+    side. The task gets numbers only and holds some 100 bytes a vertex or edge. For a graph beyond one task use scc_distributed.
+    """
+
+    def run(key, v, e):
+        import numpy as np
+        import pyarrow as pa
+
+        report, names = v.column("report_id").slice(0, 1).to_pylist(), [c.split()[0] for c in RECURSION.split(", ")]
+        ids = np.unique(v.column("idx").to_numpy())
+        del v
+        n = len(ids)
+        src, dst = (e.column(c).to_numpy() for c in ("src", "dst"))
+        del e
+        if not n:
+            return pa.table({c: pa.array([], pa.string() if c == "report_id" else pa.int64()) for c in names})
+
+        def place(x):
+            at = np.minimum(np.searchsorted(ids, x), n - 1).astype("i4")
+            return at, ids[at] == x
+
+        (src, a), (dst, b) = place(src), place(dst)
+        src, dst = src[a & b], dst[a & b]
+        by = np.lexsort((dst, src))
+        src, dst = src[by], dst[by]
+        del a, b, by
+        start = np.searchsorted(src, np.arange(n + 1, dtype="i4"))
+        first, size = (np.frombuffer(x, "i4") for x in completed(n, memoryview(start.astype("i8")), memoryview(np.ascontiguousarray(dst))))
+        again = size > 1
+        again[src[src == dst]] = True
+        own = np.searchsorted(np.unique(first[again]), first) + 1
+        made = [pa.array(report).take(pa.array(np.zeros(n, "i4"))), pa.array(ids), pa.array(first, pa.int64()), pa.array(own, pa.int64(), mask=~again), pa.array(size, pa.int64())]
+        return pa.Table.from_batches(pa.table(made, names).to_batches(1 << 17))
+
+    numbers = vertices.select("report_id", F.col("idx").cast("long").alias("idx")), graph.select("report_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    found = numbers[0].groupBy("report_id").cogroup(numbers[1].groupBy("report_id")).applyInArrow(run, RECURSION)
+    return found.withColumn("scc_kind", F.when(F.col("scc_id").isNull(), "none").when(F.col("scc_size") > 1, "mutual").otherwise("self"))
 
 
 def bottom_up(vertices: DataFrame, graph: DataFrame) -> DataFrame:
     """pos, scc_id (dense over recursive groups, else null), scc_kind (none, self, mutual), scc_size for each vertex of each report.
 
-    One report's graph is a task's work; reports run side by side. vertices: report_id, idx, name, file, line_start; graph:
-    report_id, src, dst. For a graph beyond one task use scc_distributed.
+    vertices: report_id, idx, name, file, line_start; graph: report_id, src, dst. Members of a group stand by file, line, name and number.
     """
-
-    def run(v, e):
-        import pandas as pd
-
-        if not len(v):
-            return pd.DataFrame({c.split()[0]: [] for c in ORDERED.split(", ")})
-        key = {i: (f or "", n or 0, m or "") for i, f, n, m in zip(v["idx"], v["file"], v["line_start"], v["name"])}
-        near: dict[int, list[int]] = {}
-        for a, b in sorted(zip(e["src"], e["dst"])):
-            near.setdefault(a, []).append(b)
-        rows, scc, report = [], 0, v["report_id"].iloc[0]
-        for group in tarjan(sorted(key), near):
-            kind = "mutual" if len(group) > 1 else "self" if group[0] in near.get(group[0], ()) else "none"
-            scc += kind != "none"
-            for i in sorted(group, key=lambda x: (*key[x], x)):
-                rows.append((report, i, len(rows), scc if kind != "none" else None, kind, len(group)))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in ORDERED.split(", ")])
-        return out.astype({"scc_id": "Int64"})
-
-    return vertices.groupBy("report_id").cogroup(graph.groupBy("report_id")).applyInPandas(run, ORDERED)
+    rows = meet(recursion(vertices, graph), vertices.select("report_id", "idx", "file", "line_start", "name"), ["report_id", "idx"])
+    blank = [F.coalesce("file", F.lit("")), F.coalesce("line_start", F.lit(0)), F.coalesce("name", F.lit(""))]
+    own = F.row_number().over(Window.partitionBy("report_id", "first").orderBy(*blank, "idx"))
+    return rows.select("report_id", "idx", (F.col("first") + own - 1).cast("long").alias("pos"), "scc_id", "scc_kind", "scc_size")
 
 
 #: A front of so many pairs at most is broadcast (a few MB); a larger one is shuffled.

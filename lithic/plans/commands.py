@@ -175,7 +175,7 @@ def call_graph_diff(spark: SparkSession, left: str, right: str, mapping: str | N
     sides = {}
     for side, rows in (("left", a), ("right", b)):
         edges = graph(rows, strict)
-        scc = callgraph.bottom_up(in_one_report(rows.select("idx", "name", "file", "line_start")), in_one_report(edges))
+        scc = cut(callgraph.recursion(in_one_report(rows.select("idx")), in_one_report(edges)))
         sides[side] = (cut(callgraph.translated(edges, pairs, side)), scc.select("idx", "scc_kind", "scc_size"), callgraph.resolution_counts(callgraph.call_rows(rows), rows).select(F.col("ambiguous").alias(f"{side}_ambiguous_call_sites"), F.col("unresolved").alias(f"{side}_unresolved_call_sites")))
     (le, ls, lc), (re_, rs, rc) = sides["left"], sides["right"]
     diff = cut(callgraph.graph_diff(pairs, le, re_, ls, rs))

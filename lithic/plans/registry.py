@@ -300,7 +300,7 @@ SCC_SQL = f"{GRAPH}, {REACH.format('g')}, m AS (SELECT x.a AS idx, least(x.a, mi
 @query(f"{SCC_SQL} SELECT v.p_partkey AS idx, CASE WHEN n > 1 THEN 'mutual' WHEN n = 1 THEN 'self' ELSE 'none' END AS scc_kind, coalesce(n, 1) AS scc_size FROM part v LEFT JOIN m ON v.p_partkey = m.idx")
 def scc_kind(spark, d):
     edges = graph_of(spark, d).withColumn("report_id", F.lit("r"))
-    return callgraph.bottom_up(vertices_of(spark, d), edges).select("idx", "scc_kind", "scc_size")
+    return callgraph.recursion(vertices_of(spark, d), edges).select("idx", "scc_kind", "scc_size")
 
 
 @query(f"{SCC_SQL.replace(duck(standin.GRAPH_LEFT), duck(standin.RINGS))} SELECT v.p_partkey AS idx, coalesce(scc, v.p_partkey) AS scc FROM part v LEFT JOIN m ON v.p_partkey = m.idx")
@@ -343,7 +343,7 @@ def edge_diff(spark, d):
 
 
 def scc_sides(spark, d):
-    make = lambda sql: callgraph.bottom_up(vertices_of(spark, d), graph_of(spark, d, sql).withColumn("report_id", F.lit("r")))
+    make = lambda sql: cut(callgraph.recursion(vertices_of(spark, d), graph_of(spark, d, sql).withColumn("report_id", F.lit("r"))).select("idx", "scc_kind", "scc_size"))  # noqa: E731  one after the other: each is a task's work
     return make(standin.GRAPH_LEFT), make(standin.GRAPH_RIGHT)
 
 

@@ -135,6 +135,42 @@ def test_components_and_closure_agree_with_reachability(spark):
     assert {(r.seed, r.idx) for r in up} == {(s, i) for s in (3, 7) for i in reach if s in reach[i]}
 
 
+def test_order_is_that_of_a_recursive_search_and_its_task_gets_numbers_only(spark):
+    pick = random.Random(7)
+    vertices = [("r", 3 * i, pick.choice(["f", "g", None]), pick.choice(["a.c", "b.c", None]), pick.choice([1, 2, None])) for i in range(40)] + [("s", 5, "x", "y", 1)]
+    calls = [("r", 3 * pick.randrange(40), 3 * pick.randrange(40)) for _ in range(55)] + [("r", 3, 3), ("r", 6, 1_000), ("r", 1_001, 6), ("t", 1, 2)]
+    v = spark.createDataFrame(vertices, "report_id string, idx long, name string, file string, line_start int")
+    frame = callgraph.bottom_up(v, spark.createDataFrame(calls, "report_id string, src long, dst long"))
+    near, number, low, stack, groups = {i: sorted({b for r, a, b in calls if r == "r" and a == i and b % 3 == 0 and b < 120}) for i in range(0, 120, 3)}, {}, {}, [], []
+
+    def visit(a):
+        number[a] = low[a] = len(number)
+        stack.append(a)
+        for b in near[a]:
+            if b not in number:
+                visit(b)
+                low[a] = min(low[a], low[b])
+            elif b in stack:
+                low[a] = min(low[a], number[b])
+        if low[a] == number[a]:
+            groups.append(stack[stack.index(a) :])
+            del stack[stack.index(a) :]
+
+    for a in near:
+        if a not in number:
+            visit(a)
+    key, expected, scc = {i: (f or "", n or 0, m or "", i) for r, i, m, f, n in vertices if r == "r"}, [("s", 5, 0, None, "none", 1)], 0
+    for group in groups:
+        kind = "mutual" if len(group) > 1 else "self" if group[0] in near[group[0]] else "none"
+        scc += kind != "none"
+        expected += [("r", i, 0, scc if kind != "none" else None, kind, len(group)) for i in sorted(group, key=key.get)]
+    expected = expected[:1] + [(r, i, k, *rest) for k, (r, i, _, *rest) in enumerate(expected[1:])]
+    assert sorted(map(tuple, frame.collect())) == sorted(expected)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    task = next(x for x in plan.split("\n") if "CoGroups" in x)
+    assert "file" not in task and "name" not in task and "InArrow" in task
+
+
 def recorded(plans):
     """cut that keeps the plans of what it writes."""
 
