@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import meet
 from ..functions import scalar
 from ..model import METRICS, STRUCT_METRICS
 from .matching import paired
@@ -85,15 +86,15 @@ IDENTITY = ["name", "file", "line_start"]
 
 def missing(side: DataFrame, pairs: DataFrame, which: str) -> DataFrame:
     """Rows of a side ("left" or "right") without a pair, by (name, file, line_start)."""
-    matched = side.join(pairs.select(F.col(f"{which}_idx").alias("idx")), "idx", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in IDENTITY])
+    matched = meet(side, pairs.select(F.col(f"{which}_idx").alias("idx")), "idx", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in IDENTITY])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in IDENTITY])
-    return side.join(matched, same, "left_anti")
+    return meet(side, matched, same, "left_anti")
 
 
 def struct_missing(side: DataFrame, pairs: DataFrame, which: str) -> DataFrame:
     """By name alone: a matched name hides others of that name."""
-    matched = side.join(pairs.select(F.col(f"{which}_idx").alias("idx")), "idx", "left_semi").select("name").distinct()
-    return side.join(matched, "name", "left_anti")
+    matched = meet(side, pairs.select(F.col(f"{which}_idx").alias("idx")), "idx", "left_semi").select("name").distinct()
+    return meet(side, matched, "name", "left_anti")
 
 
 def partial(pairs: DataFrame, left: DataFrame, right: DataFrame, ratio: float = STUB_RATIO) -> DataFrame:
@@ -134,7 +135,7 @@ def pair_constants(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataF
         c = F.col("c")
         value = F.when(c["kind"] == "float", F.round(c["float_value"], 12).cast("string")).otherwise(F.coalesce(c["int_value"].cast("string"), c["str_value"], c["bool_value"].cast("string")))
         each = rows.select(F.col("idx").alias(f"{which}_idx"), F.explode("constants").alias("c"))
-        return pairs.join(each, f"{which}_idx").select("pair_idx", F.lit(which).alias("side"), c["kind"].alias("kind"), value.alias("value"))
+        return meet(pairs, each, f"{which}_idx").select("pair_idx", F.lit(which).alias("side"), c["kind"].alias("kind"), value.alias("value"))
 
     return side(left, "left").unionAll(side(right, "right"))
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import meet
 from ..model import METRICS
 
 # Features and targets in the order in which model files list them.
@@ -125,10 +126,10 @@ def report(other: DataFrame, model: dict, pairs: DataFrame | None = None, left:
     rows = predict(other, model)
     if pairs is None:
         return rows
-    named = pairs.join(other.select(F.col("idx").alias("right_idx"), F.col("name").alias("_name")), "right_idx")
+    named = meet(pairs, other.select(F.col("idx").alias("right_idx"), F.col("name").alias("_name")), "right_idx")
     first = named.groupBy("_name").agg(F.min_by("left_idx", "pair_idx").alias("_left"))
     actual = left.select(F.col("idx").alias("_left"), F.col("name").alias("matched_name"), *[F.col(t).cast("double").alias(f"a_{t}") for t in model["targets"]])
-    joined = rows.join(first, F.col("name") == F.col("_name"), "left").join(actual, "_left", "left").drop("_left", "_name")
+    joined = meet(meet(rows, first, F.col("name") == F.col("_name"), "left"), actual, "_left", "left").drop("_left", "_name")
     return joined.withColumns({f"z_{t}": outlier(F.col(f"a_{t}"), F.col(f"p_{t}"), fit["residual_std"]) for t, fit in model["targets"].items()})
 
 
@@ -136,7 +137,7 @@ def examples(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Training rows of matched pairs: x_* of the right, y_* of the left."""
     x = features(right).select(F.col("idx").alias("right_idx"), *[F.col(f"f_{f}").alias(f"x_{f}") for f in FEATURES])
     y = left.select(F.col("idx").alias("left_idx"), *[F.col(t).cast("double").alias(f"y_{t}") for t in TARGETS])
-    return pairs.join(x, "right_idx").join(y, "left_idx")
+    return meet(meet(pairs, x, "right_idx"), y, "left_idx")
 
 
 def save(model: dict, path: str) -> None:

@@ -16,8 +16,8 @@ from .standin import duck, frame
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-L = lambda spark, d: frame(spark, d, standin.LEFT)
-R = lambda spark, d: frame(spark, d, standin.RIGHT)
+L = lambda spark, d: frame(spark, d, standin.LEFT, ("part",))
+R = lambda spark, d: frame(spark, d, standin.RIGHT, ("part",))
 
 
 def query(sql: str | None = None):
@@ -47,7 +47,23 @@ PAIRS = f"""{FFI}, {EXACT}, {NORMALIZED},
  pairs AS (SELECT row_number() OVER (ORDER BY s, left_idx) - 1 AS pair_idx, left_idx, right_idx, strategy FROM staged)"""
 #: The stages whose result does not depend on which of several candidates comes first.
 SET_STAGES = ("FfiAttribute", "ExactName", "Normalized")
-pairs_of = lambda spark, d: matching.match(L(spark, d), R(spark, d), None, SET_STAGES)
+NAMED = ("idx", "name", "original_name")
+
+
+def sides(spark, d, left=METRICS, right=METRICS):
+    """Both sides with their names and the columns given, written once: the stages and what follows them read them many times."""
+    return tuple(cut(make(spark, d).select(*dict.fromkeys((*NAMED, *more)))) for make, more in ((L, left), (R, right)))
+
+
+def pairs_of(a, b):
+    """The pairs of two sides, written once."""
+    return cut(matching.match(a, b, None, SET_STAGES))
+
+
+def paired_sides(spark, d, left=METRICS, right=METRICS):
+    a, b = sides(spark, d, left, right)
+    return pairs_of(a, b), a, b
+
 
 
 def p95_sql(metrics=METRICS, tables=("l", "r")) -> str:
@@ -140,12 +156,13 @@ def match_mapping(spark, d):
 
 @query(f"{WITH}, {PAIRS} SELECT * FROM pairs")
 def match_cascade(spark, d):
-    return pairs_of(spark, d)
+    return matching.match(*sides(spark, d, (), ()), None, SET_STAGES)
 
 
 @query()
 def match_all_stages(spark, d):
-    return matching.match(L(spark, d), R(spark, d), [{"left": f"new_{w}_{i}", "right": f"{v}_{w}_{i}", "right_path": f"{v}_{w}.{e}"} for i, v, w, e in ((2, "blue", "bolt", "pl"), (5, "small", "ring", "c"))])
+    asked = ("file", "line_start", "enclosing_type", "arity", "outputs_count", "loc_code")
+    return matching.match(*sides(spark, d, asked, asked), [{"left": f"new_{w}_{i}", "right": f"{v}_{w}_{i}", "right_path": f"{v}_{w}.{e}"} for i, v, w, e in ((2, "blue", "bolt", "pl"), (5, "small", "ring", "c"))])
 
 
 # --- comparison
@@ -161,31 +178,31 @@ DEVIATION = f"{WITH}, {PAIRS}, {p95_sql()}, dev AS (SELECT pair_idx, a.name AS l
 
 @query(f"{DEVIATION} SELECT pair_idx, left_name, right_name, round(total, 6) AS total FROM dev")
 def compare_deviation(spark, d):
-    a, b = L(spark, d), R(spark, d)
-    return comparing.deviation(pairs_of(spark, d), a, b).select("pair_idx", "left_name", "right_name", F.round("total", 6).alias("total"))
+    return comparing.deviation(*paired_sides(spark, d)).select("pair_idx", "left_name", "right_name", F.round("total", 6).alias("total"))
 
 
 @query(f"{DEVIATION} SELECT pair_idx, round(total, 6) AS total FROM dev ORDER BY round(total, 6) DESC, pair_idx LIMIT 20")
 def compare_top(spark, d):
-    a, b = L(spark, d), R(spark, d)
-    rows = comparing.deviation(pairs_of(spark, d), a, b).withColumn("total", F.round("total", 6))
+    rows = comparing.deviation(*paired_sides(spark, d)).withColumn("total", F.round("total", 6))
     return comparing.ranked_by(rows, "total").select("pair_idx", "total")
 
 
 @query(f"{WITH}, {PAIRS} SELECT name FROM r WHERE idx NOT IN (SELECT right_idx FROM pairs)")
 def missing_right(spark, d):
-    return comparing.missing(R(spark, d), pairs_of(spark, d), "right").select("name")
+    pairs, _, b = paired_sides(spark, d, (), comparing.IDENTITY)
+    return comparing.missing(b, pairs, "right").select("name")
 
 
 @query(f"{WITH}, {PAIRS} SELECT name FROM l WHERE idx NOT IN (SELECT left_idx FROM pairs)")
 def extra_left(spark, d):
-    return comparing.missing(L(spark, d), pairs_of(spark, d), "left").select("name")
+    pairs, a, _ = paired_sides(spark, d, comparing.IDENTITY, ())
+    return comparing.missing(a, pairs, "left").select("name")
 
 
 @query(f"""{WITH}, {PAIRS} SELECT pair_idx, a.name AS left_name, b.name AS right_name, 'left LOC ' || CAST(a.loc_code AS BIGINT) || ' is ' || CAST(round_even(100 * (greatest(a.loc_code, 1) / greatest(b.loc_code, 1)), 0) AS BIGINT) || '% of right LOC ' || CAST(b.loc_code AS BIGINT) AS reason
  FROM pairs JOIN l a ON a.idx = left_idx JOIN r b ON b.idx = right_idx WHERE greatest(a.loc_code, 1) / greatest(b.loc_code, 1) < 0.2""")
 def partial_stub(spark, d):
-    return comparing.partial(pairs_of(spark, d), L(spark, d), R(spark, d))
+    return comparing.partial(*paired_sides(spark, d, ("file", "loc_code"), ("file", "loc_code")))
 
 
 STATS = ", ".join(f"avg({m}) AS a_{m}, stddev_pop({m}) AS s_{m}" for m in comparing.SORT_METRICS)
@@ -404,8 +421,8 @@ def order_merge(spark, d):
 def order_annotate(spark, d):
     from ..sources import tables
 
-    a, b = L(spark, d), R(spark, d)
-    rows = tables.annotate(b.select("idx", "name", "file", F.col("line_start").cast("string").alias("line_start")), pairs_of(spark, d), a, b)
+    pairs, a, b = paired_sides(spark, d, comparing.IDENTITY, comparing.IDENTITY)
+    rows = tables.annotate(b.select("idx", "name", "file", F.col("line_start").cast("string").alias("line_start")), pairs, a, b)
     return rows.select("idx", "name", "left_name", "match_strategy")
 
 
@@ -415,20 +432,22 @@ TRAIN = f"{WITH}, {PAIRS}, e AS (SELECT b.loc_code AS x, a.cyclomatic AS y FROM
 
 
 def one_feature(spark, d):
-    rows = matching.paired(pairs_of(spark, d), L(spark, d).select("idx", "cyclomatic"), R(spark, d).select("idx", "loc_code"))
-    return prediction.train(rows.select(F.col("r_loc_code").alias("x_loc_code"), F.col("l_cyclomatic").alias("y_cyclomatic")), ("loc_code",), ("cyclomatic",))
+    """The pairs with both metrics, the fit over them, the right side."""
+    pairs, a, b = paired_sides(spark, d, ("cyclomatic",), ("loc_code",))
+    rows = cut(matching.paired(pairs, a.select("idx", "cyclomatic"), b.select("idx", "loc_code")))
+    learnt = prediction.train(rows.select(F.col("r_loc_code").alias("x_loc_code"), F.col("l_cyclomatic").alias("y_cyclomatic")), ("loc_code",), ("cyclomatic",))
+    return rows, learnt["targets"]["cyclomatic"], b
 
 
 @query(f"{TRAIN} SELECT idx, round(b0 + b1 * loc_code, 4) AS predicted FROM r, fit")
 def ols_predict(spark, d):
-    fit = one_feature(spark, d)["targets"]["cyclomatic"]
-    return R(spark, d).select("idx", F.round(prediction.linear(fit, F.col), 4).alias("predicted"))
+    _, fit, b = one_feature(spark, d)
+    return b.select("idx", F.round(prediction.linear(fit, F.col), 4).alias("predicted"))
 
 
 @query(f"{TRAIN}, sd AS (SELECT greatest(stddev_pop(y - (b0 + b1 * x)), 1e-6) AS sd FROM e, fit) SELECT pair_idx, round((a.cyclomatic - (b0 + b1 * b.loc_code)) / sd, 4) AS z FROM pairs JOIN l a ON a.idx = left_idx JOIN r b ON b.idx = right_idx, fit, sd")
 def prediction_z(spark, d):
-    fit = one_feature(spark, d)["targets"]["cyclomatic"]
-    rows = matching.paired(pairs_of(spark, d), L(spark, d).select("idx", "cyclomatic"), R(spark, d).select("idx", "loc_code"))
+    rows, fit, _ = one_feature(spark, d)
     z = prediction.outlier(F.col("l_cyclomatic"), prediction.linear(fit, lambda f: F.col(f"r_{f}")), fit["residual_std"])
     return rows.select("pair_idx", F.round(z, 4).alias("z"))
 
@@ -443,8 +462,9 @@ def heuristics(spark, d):
 @query()
 def predict_full(spark, d):
     extra = {"constants": F.col("loops"), "input_types": F.array(F.lit("int"))}
-    a, b = L(spark, d).withColumns(extra), R(spark, d).withColumns(extra)
-    pairs = pairs_of(spark, d)
+    asked = (*METRICS, "arity", "outputs_count", "loc_asm")
+    pairs, a, b = paired_sides(spark, d, asked, asked)
+    a, b = a.withColumns(extra), b.withColumns(extra)
     model = prediction.train(cut(prediction.examples(pairs, a, b)))
     out = prediction.report(b, model, pairs, a)
     return out.select("idx", "name", "matched_name", *[F.round(f"p_{t}", 3).alias(f"p_{t}") for t in prediction.TARGETS], *[F.round(f"z_{t}", 3).alias(f"z_{t}") for t in prediction.TARGETS])
@@ -527,14 +547,14 @@ CONTRIBUTIONS = " UNION ALL ".join(f"SELECT pair_idx, {i} AS nth, '{m}' AS metri
 
 @query(f"{WITH}, {PAIRS}, {p95_sql()}, c AS ({CONTRIBUTIONS}), o AS (SELECT *, row_number() OVER (PARTITION BY pair_idx ORDER BY share DESC, nth) AS n FROM c) SELECT pair_idx, coalesce(string_agg(metric, ', ' ORDER BY n) FILTER (n <= 3 AND share > 0), '') AS first, round(max(share), 6) AS largest FROM o GROUP BY pair_idx")
 def compare_contributors(spark, d):
-    rows = comparing.deviation(pairs_of(spark, d), L(spark, d), R(spark, d))
+    rows = comparing.deviation(*paired_sides(spark, d))
     above = F.filter(F.slice("per_metric", 1, 3), lambda x: x["contribution"] > 0)
     return rows.select("pair_idx", F.array_join(F.transform(above, lambda x: x["metric"]), ", ").alias("first"), F.round(F.col("per_metric")[0]["contribution"], 6).alias("largest"))
 
 
 @query(f"{WITH}, {PAIRS} SELECT pair_idx, {' + '.join(f'abs(a.{m} - b.{m})' for m in METRICS)} AS total FROM pairs JOIN l a ON a.idx = left_idx JOIN r b ON b.idx = right_idx")
 def fallback_deviation(spark, d):
-    return comparing.fallback_deviation(pairs_of(spark, d), L(spark, d), R(spark, d)).select("pair_idx", "total")
+    return comparing.fallback_deviation(*paired_sides(spark, d)).select("pair_idx", "total")
 
 
 @query(ORACLE["constants_diff"].replace("FROM s GROUP BY pair_idx", "FROM s GROUP BY pair_idx HAVING sum(a + b) > 0 ORDER BY score DESC, pair_idx LIMIT 20"))

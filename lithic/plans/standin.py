@@ -67,9 +67,10 @@ RADIX = """SELECT CAST(o_orderkey AS BIGINT) AS id, CASE o_orderkey % 4 WHEN 0 T
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark")
 
 
-def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def frame(spark: SparkSession, sf_dir: str, sql: str, shuffled: tuple[str, ...] = ()) -> DataFrame:
+    """shuffled: tables whose joins are not to be broadcasts, however small their files are."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+    return spark.sql(sql, **{t: rows.hint("merge") if t in shuffled else rows for t, rows in used.items()})
 
 
 def duck(sql: str) -> str:

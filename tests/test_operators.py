@@ -193,6 +193,19 @@ def test_closures_and_components_broadcast_no_growing_table(spark, monkeypatch):
     assert len(plans) > 20 and not any("Broadcast" in p for p in plans)
 
 
+def test_pairs_meet_their_sides_without_broadcasts(spark, monkeypatch):
+    plans, names = [], ["f", "g", "parse_it", "g", "h_file"]
+    monkeypatch.setattr(matching, "cut", recorded(plans))
+    left = side(spark, [{"name": n, "original": "g"} for n in names])
+    right = side(spark, [{"name": n} for n in reversed(names)])
+    found = cut(matching.match(left, right))
+    order = right.select("idx", "name", "file", F.col("line_start").cast("string").alias("line_start"))
+    done = [matching.paired(found, left, right), comparing.missing(right, found, "right"), tables.annotate(order, found, left, right), comparing.fallback_deviation(found, left, right, ("loc_code",))]
+    plans += [x._jdf.queryExecution().sparkPlan().toString() for x in done]
+    assert len(plans) == 8 and not any("Broadcast" in p for p in plans)
+    assert [done[0].count(), done[1].count(), done[2].where("left_name = ''").count()] == [4, 1, 1]
+
+
 def test_ambiguous_and_unresolved_calls(spark):
     functions = spark.createDataFrame([(0, "a"), (1, "b"), (2, "b")], "idx long, name string")
     calls = spark.createDataFrame([(0, "b"), (0, "puts"), (1, "a")], "idx long, callee string")
